@@ -64,7 +64,21 @@ def grid_bounds(df: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
     )
 
 
-def regrid(df: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
+def slot_bounds(readings: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
+    """`grid_bounds` of the bucketed series, straight from the raw rows: two columns,
+    combined on the map side, without waiting for the per-slot aggregate."""
+    slot = floor_div(F.unix_micros("ts"), step * 1_000_000) * step
+    return readings.groupBy("sensor_id").agg(
+        F.min(slot).alias("first_slot"), (F.floor((F.max(slot) - F.min(slot)) / step) + 1).cast("bigint").alias("n_rows")
+    )
+
+
+def to_grid(readings: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
+    """Raw readings at any time -> the complete, gap-filled grid."""
+    return fill_gaps(regrid(bucket_to_grid(readings, step), step, slot_bounds(readings, step)), step)
+
+
+def regrid(df: DataFrame, step: int = STEP_SECONDS, bounds: DataFrame | None = None) -> DataFrame:
     """Rows on the grid min, min+step, ...; rows off the grid are dropped.
 
     Adds pos (0-based slot number) and n_rows (slots of the sensor). The bounds
@@ -73,7 +87,7 @@ def regrid(df: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
     """
     offset = F.unix_seconds("ts") - F.col("first_slot")
     return (
-        df.join(grid_bounds(df, step), "sensor_id")
+        df.join(grid_bounds(df, step) if bounds is None else bounds, "sensor_id")
         .where(offset % step == 0)
         .withColumn("pos", floor_div(offset, step))
     )

@@ -30,7 +30,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.fill_gaps(clean.regrid(slots(spark, sf_dir)))
+    return clean.to_grid(event_readings(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

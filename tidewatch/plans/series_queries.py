@@ -103,14 +103,21 @@ def blocks(spark, sf):
     """WITH d AS (SELECT o_orderpriority AS sensor_id, o_orderdate AS ts, o_totalprice AS value FROM orders
                   QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC) = 1),
        b AS (SELECT sensor_id, min(ts) AS lo, max(ts) AS hi FROM d GROUP BY 1),
-       c AS (SELECT sensor_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM b)
-       SELECT c.sensor_id, c.ts, round(coalesce(d.value, last_value(d.value IGNORE NULLS) OVER w), 6) + 0.0::DOUBLE AS value,
-              CASE WHEN d.value IS NULL THEN 1 ELSE 0 END AS imputed
-       FROM c LEFT JOIN d USING (sensor_id, ts)
-       WINDOW w AS (PARTITION BY c.sensor_id ORDER BY c.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+       c AS (SELECT sensor_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM b),
+       g AS (SELECT c.sensor_id, c.ts, d.value AS raw, epoch(c.ts) / 86400 AS day,
+                    last_value(d.value IGNORE NULLS) OVER back AS v0, first_value(d.value IGNORE NULLS) OVER ahead AS v1,
+                    last_value(CASE WHEN d.value IS NOT NULL THEN epoch(c.ts) / 86400 END IGNORE NULLS) OVER back AS d0,
+                    first_value(CASE WHEN d.value IS NOT NULL THEN epoch(c.ts) / 86400 END IGNORE NULLS) OVER ahead AS d1
+             FROM c LEFT JOIN d USING (sensor_id, ts)
+             WINDOW back AS (PARTITION BY c.sensor_id ORDER BY c.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                    ahead AS (PARTITION BY c.sensor_id ORDER BY c.ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+       SELECT sensor_id, ts, CASE WHEN raw IS NULL THEN 1 ELSE 0 END AS imputed,
+              round(CASE WHEN raw IS NOT NULL THEN raw WHEN d1 - d0 - 1 <= 3 THEN v0
+                         ELSE v0 + (v1 - v0) * (day - d0) / (d1 - d0) END, 6) + 0.0::DOUBLE AS value
+       FROM g""",
 )
 def daily_orders(spark, sf):
-    """A dense daily series: at most short gaps, so every fill repeats the left value."""
+    """A dense daily series read without bucketing: its timestamps are grid times."""
     out = clean.clean_series(order_readings(spark, sf), 86400)
     return out.select("sensor_id", "ts", r("value").alias("value"), "imputed")
 
