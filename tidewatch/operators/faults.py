@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewatch.operators.clean import CHUNK, floor_div
 from tidewatch.operators.scan import row_number, runs
@@ -74,30 +75,36 @@ def legacy_value() -> Column:
 
 
 def active_steps(readings: DataFrame, schedule: DataFrame, step_seconds: int = STEP_SECONDS) -> DataFrame:
-    """Readings with the fault that covers them (or none) and their step inside it.
+    """Readings on the grid with the fault that covers them (or none) and their step in it.
 
-    Equi-join on (sensor, time bucket): a long fault takes several buckets, and a
-    reading matches the buckets of its own time only. Of two faults that cover a
-    reading the later started one replaces the other.
+    An as-of lookup: per (sensor, time bucket) the fault starts and the readings
+    are merged in time order and each reading sees the last start. A new fault
+    replaces the running one, so an older fault never comes back. Cost is linear;
+    a long fault is present in each bucket it spans.
     """
     width = CHUNK * step_seconds
-    bucket = lambda c: floor_div(c, width)
     begin = F.unix_seconds("start")
     end = begin + (F.col("duration_steps") - 1) * step_seconds
-    spread = (
+    entry = F.struct(begin.alias("begin"), end.alias("end"), "fault_id", "fault_type", "duration_steps", "magnitude")
+    starts = (
         schedule.where((F.col("fault_type") != RESERVED) & (F.col("duration_steps") > 0))
-        .select("fault_id", "sensor_id", "fault_type", "duration_steps", "magnitude", begin.alias("_begin"), end.alias("_end"))
-        .withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_begin")), bucket(F.col("_end")))))
-        # the faults of one bucket travel together: a reading keeps one row
-        .groupBy("sensor_id", "_bucket")
-        .agg(F.collect_list(F.struct("_begin", "_end", "fault_id", "fault_type", "duration_steps", "magnitude")).alias("_faults"))
+        .select("sensor_id", entry.alias("_entry"))
+        .withColumn(
+            "_bucket",
+            F.explode(F.sequence(floor_div(F.col("_entry.begin"), width), floor_div(F.col("_entry.end"), width))),
+        )
+        .withColumns({"_at": F.col("_entry.begin"), "_is_row": F.lit(0)})
     )
     at = F.unix_seconds("ts")
-    joined = readings.withColumn("_bucket", bucket(at)).join(spread, ["sensor_id", "_bucket"], "left")
-    covering = F.array_max(F.filter("_faults", lambda f: (f["_begin"] <= at) & (at <= f["_end"])))
+    rows = readings.withColumns({"_at": at, "_bucket": floor_div(at, width), "_is_row": F.lit(1)})
+    merged = rows.unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy("sensor_id", "_bucket").orderBy("_at", "_is_row", "_entry.fault_id")
+    last = F.last("_entry", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    seen = merged.withColumn("_last", last).where(F.col("_is_row") == 1)
+    active = F.when(F.col("_last.end") >= F.col("_at"), F.col("_last"))
     return (
-        joined.withColumn("_fault", covering)
-        .withColumn("step", floor_div(at - F.col("_fault._begin"), step_seconds))
+        seen.withColumn("_fault", active)
+        .withColumn("step", floor_div(F.col("_at") - F.col("_fault.begin"), step_seconds))
         .select(
             *readings.columns,
             F.col("_fault.fault_id").alias("fault_id"),

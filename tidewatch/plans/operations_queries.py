@@ -255,7 +255,7 @@ fragment(
     "updates",
     """SELECT user_id + 1 AS alert_id, CASE k % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'investigating' WHEN 2 THEN 'resolved'
               WHEN 3 THEN 'false_alarm' ELSE 'paused' END AS status, CASE WHEN k % 3 = 0 THEN 'note ' || k END AS note,
-              CASE k % 3 WHEN 0 THEN 'true_anomaly' WHEN 1 THEN 'false_alarm' ELSE 'unsure' END AS feedback, ts AS at, event_id AS seq
+              CASE k % 3 WHEN 0 THEN 'true_anomaly' WHEN 1 THEN 'false_alarm' ELSE 'unsure' END AS feedback, ts AS happened, event_id AS seq
        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""",
 )
 ALERT_COLUMNS = "id, reading_id, ts, sensor_id, severity, score, reason, acknowledged, status, operator_note, resolved_at, feedback"
@@ -292,10 +292,10 @@ def acknowledged(spark, sf):
     "update_alert_status",
     with_ctes(
         ["stored_alerts", "updates"],
-        """SELECT a.id, coalesce(u.status, a.status) AS status, u.note AS operator_note, u.at AS resolved_at
+        """SELECT a.id, coalesce(u.status, a.status) AS status, u.note AS operator_note, u.closed AS resolved_at
            FROM stored_alerts a LEFT JOIN (
              SELECT alert_id, arg_max(status, seq) AS status, arg_max(note, seq) FILTER (note IS NOT NULL) AS note,
-                    arg_max(at, seq) FILTER (status IN ('resolved', 'false_alarm')) AS at
+                    arg_max(happened, seq) FILTER (status IN ('resolved', 'false_alarm')) AS closed
              FROM updates WHERE status <> 'paused' GROUP BY 1) u ON u.alert_id = a.id""",
     ),
 )
