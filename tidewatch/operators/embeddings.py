@@ -58,7 +58,7 @@ def gallery(images: DataFrame, seed: int = 42, size: int = GALLERY_SIZE) -> Data
     The row_number limit is applied per task before the shuffle, and only the
     picked rows carry their bytes as text. images: (path, label, content).
     """
-    order = W.partitionBy("label").orderBy(F.xxhash64("path", F.lit(seed)), "path")
+    order = W.partitionBy("label").orderBy(F.md5(F.concat("path", F.lit(str(seed)))), "path")
     picked = images.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
     name = F.element_at(F.split("path", "/"), -1)
     return picked.select("label", "place", name.alias("filename"), data_uri(F.col("path"), F.col("content")).alias("data"))
