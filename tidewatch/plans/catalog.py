@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import detector_queries, evaluation_queries, operations_queries, series_queries
+from tidewatch.plans import detector_queries, evaluation_queries, operations_queries, series_queries, streaming_queries
 
-AREAS = [series_queries, evaluation_queries, operations_queries, detector_queries]
+AREAS = [series_queries, evaluation_queries, operations_queries, detector_queries, streaming_queries]
 
 QUERIES, ORACLES = {}, {}
 for _area in AREAS:
