@@ -112,8 +112,9 @@ def rolling_features(
     online=True: what a buffer of the last 65 readings gives — the mean is
     re-seeded at the oldest buffered reading and missing features count as 0.
     """
-    if max(windows) > HALO or not HALO < chunk <= CHUNK:
-        raise ValueError(f"windows must be at most {HALO} and the chunk between {HALO + 1} and {CHUNK}")
+    if max(windows) > HALO or not CHUNK // 2 <= chunk <= CHUNK:
+        # below, two chunks no longer hold the whole memory of the slow mean; above, its powers overflow
+        raise ValueError(f"windows must be at most {HALO} and the chunk between {CHUNK // 2} and {CHUNK}")
     keep = list(df.columns)
     placed, haloed = _prepared(df, value, chunk, HALO)
     x = F.col(value)
