@@ -77,7 +77,7 @@ def fit(
     features: list[str] | str,
     nu: float = 0.1,
     gamma: float | None = None,
-    width: int = 128,
+    width: int = 512,
     steps: int = 12,
     seed: int = 42,
 ) -> OneClassModel:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tidewatch.operators.clean import CHUNK, floor_div
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -38,7 +38,7 @@ def cut_points(df: DataFrame, keys: list[str], value: str, buckets: int, extra:
     """Per key, the values that split its rows into about equal buckets (mergeable sketch)."""
     probs = [i / buckets for i in range(1, buckets)]
     return df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets if buckets > 1000 else 10000).alias("cuts"),
+        F.percentile_approx(F.col(value).cast("double"), probs, max(10000, 4 * buckets)).alias("cuts"),
         *(extra or []),
     )
 
@@ -46,16 +46,14 @@ def cut_points(df: DataFrame, keys: list[str], value: str, buckets: int, extra:
 def add_bucket(df: DataFrame, keys: list[str], value: str, extra: list[Column] | None = None) -> DataFrame:
     """Adds `bucket`: order-preserving, balanced, equal values together.
 
-    The cut table has one row per key and at most 4,095 numbers in it.
+    The cut table has one row per key with fewer than MAX_BUCKETS numbers; without
+    keys it is a scalar.
     """
     buckets = bucket_count(df)
     bits = buckets.bit_length() - 1
     cuts = cut_points(df, keys, value, buckets, extra)
-    return (
-        df.join(cuts, keys)
-        .withColumn("bucket", count_below(F.col("cuts"), F.col(value).cast("double"), bits))
-        .drop("cuts")
-    )
+    with_cuts = df.join(cuts, keys) if keys else df.withColumn("cuts", cuts.scalar())
+    return with_cuts.withColumn("bucket", count_below(F.col("cuts"), F.col(value).cast("double"), bits)).drop("cuts")
 
 
 def running_total(
@@ -86,14 +84,12 @@ def running_total(
 def row_number(df: DataFrame, keys: list[str], value: str, ties: list[str], name: str = "row_no") -> DataFrame:
     """0-based position by (value, ties) per key; `value` must be numeric.
 
-    Without keys a constant key is used, still bucketed, never a single task.
+    Rows are windowed inside balanced buckets; only bucket counts meet in one place.
     """
-    own = keys or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
-    placed = add_bucket(src, own, value)
+    placed = add_bucket(df, keys, value)
     order = [F.col(c) for c in (value, *ties)]
-    out = running_total(placed, own, "bucket", order, {name: F.lit(1)})
-    return out.withColumn(name, (F.col(name) - 1).cast("bigint")).drop("bucket", *([] if keys else ["_all"]))
+    out = running_total(placed, keys, "bucket", order, {name: F.lit(1)})
+    return out.withColumn(name, (F.col(name) - 1).cast("bigint")).drop("bucket")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
