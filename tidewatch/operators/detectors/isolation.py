@@ -69,12 +69,13 @@ class ForestModel:
             base = (np.arange(len(x), dtype=np.int64) * width)[:, None]
             at = np.broadcast_to(roots, (len(x), len(roots)))
             for _ in range(limit):
-                value = flat.take(base + feature.take(at))
-                at = left.take(at) + (value > split.take(at))
+                value = flat.take(base + feature.take(at, mode="clip"), mode="clip")
+                at = left.take(at, mode="clip") + (value > split.take(at, mode="clip"))
             return np.exp2(-path.take(at).mean(1) / scale) if scale else np.ones(len(x))
 
         def in_blocks(x: np.ndarray) -> pd.Series:
-            parts = [walk(x[i : i + 1024]) for i in range(0, len(x), 1024)]
+            # 128 rows x 200 trees keep the working set in the processor cache
+            parts = [walk(x[i : i + 128]) for i in range(0, len(x), 128)]
             return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
         if isinstance(self.features, str):

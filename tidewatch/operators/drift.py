@@ -53,51 +53,59 @@ def classify(psi_value: Column, shift: Column) -> Column:
     )
 
 
+def of_stats(stats: Stats, place: int) -> Column:
+    """Field `place` (0 feature, 1 mean, 2 std) of the baseline entry `ord`."""
+    return F.get(F.array(*[F.lit(s[place]) for s in stats]), F.col("ord"))
+
+
 def unpivot(df: DataFrame, keys: list[str], stats: Stats) -> DataFrame:
-    """(keys, feature, ord, mean, std, value, bin); missing values are left out.
+    """(keys, ord, value, bin); missing values are left out.
 
-    `stats` is the baseline table of a model, one entry per contract feature.
+    `stats` is the baseline table of a model, one entry per contract feature; `ord` is
+    the place in it. The bin is worked out after the explode from looked-up edges: 22
+    copies of the comparison would make a method too large for the JIT compiler.
     """
-    entries = []
-    for i, (name, mean, std) in enumerate(stats):
-        lo = mean - SPAN * std
-        width = (mean + SPAN * std - lo) / BINS
-        value = F.col(name)
-        bin_no = sum(((value >= F.lit(lo + k * width)).cast("int") for k in range(1, BINS)), F.lit(0))
-        entries.append(
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.lit(i).alias("ord"),
-                F.lit(mean).alias("mean"),
-                F.lit(std).alias("std"),
-                value.alias("value"),
-                bin_no.alias("bin"),
-            )
-        )
-    long = df.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*")
-    return long.where(F.col("value").isNotNull())
+    values = F.array(*[F.col(name) for name, _, _ in stats])
+    long = df.select(*keys, F.posexplode(values).alias("ord", "value")).where(F.col("value").isNotNull())
+    mean, std = of_stats(stats, 1), of_stats(stats, 2)
+    low = mean - F.lit(SPAN) * std
+    edged = long.withColumns({"_low": low, "_width": (mean + F.lit(SPAN) * std - low) / F.lit(float(BINS))})
+    above = [(F.col("value") >= F.col("_low") + F.lit(float(k)) * F.col("_width")).cast("int") for k in range(1, BINS)]
+    return edged.withColumn("bin", sum(above, F.lit(0))).drop("_low", "_width")
+
+
+def bin_counts(df: DataFrame, keys: list[str], stats: Stats) -> DataFrame:
+    """(keys, ord, bin, n, total): at most ten rows per group and feature leave a task."""
+    return unpivot(df, keys, stats).groupBy(*keys, "ord", "bin").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total")
+    )
 
 
 def histogram(df: DataFrame, keys: list[str], stats: Stats) -> DataFrame:
     """(keys, feature, bin, n); bins 0..9, rows beyond ± 3 sigma in the outer bins."""
-    return unpivot(df, keys, stats).groupBy(*keys, "feature", "bin").agg(F.count("*").alias("n"))
+    return bin_counts(df, keys, stats).select(*keys, of_stats(stats, 0).alias("feature"), "bin", "n")
 
 
 def feature_drift(df: DataFrame, keys: list[str], stats: Stats) -> DataFrame:
-    """(keys, feature, ord, n, psi, shift, status), one aggregate."""
-    long = unpivot(df, keys, stats)
-    counted = long.groupBy(*keys, "feature", "ord", "mean", "std").agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("live_mean"),
-        *[F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(BINS)],
+    """(keys, feature, ord, n, psi, shift, status)."""
+    counted = (
+        bin_counts(df, keys, stats)
+        .groupBy(*keys, "ord")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("total").alias("total"),
+            *[F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(BINS)],
+        )
     )
+    mean, std = of_stats(stats, 1), of_stats(stats, 2)
     shares = [F.col(f"b{b}") / F.col("n") for b in range(BINS)]
     index = psi([F.lit(e) for e in normal_shares()], shares)
     # without spread there are no bins: the shift alone decides
     out = counted.withColumns(
         {
-            "psi": F.when(F.col("std") > 0, index),
-            "shift": mean_shift(F.col("mean"), F.col("std"), F.col("live_mean")),
+            "feature": of_stats(stats, 0),
+            "psi": F.when(std > 0, index),
+            "shift": mean_shift(mean, std, F.col("total") / F.col("n")),
         }
     )
     return out.select(*keys, "feature", "ord", "n", "psi", "shift", classify(F.col("psi"), F.col("shift")).alias("status"))

@@ -53,12 +53,16 @@ def decode_data_uri(text: Column) -> Column:
 
 
 def gallery(images: DataFrame, seed: int = 42, size: int = GALLERY_SIZE) -> DataFrame:
-    """`size` images per class in a random but repeatable order.
+    """`size` images per class in a random but repeatable order. images: (path, label, content).
 
-    The row_number limit is applied per task before the shuffle, and only the
-    picked rows carry their bytes as text. images: (path, label, content).
+    Names are ranked first, without reading any bytes; the row_number limit acts in
+    each task before the shuffle. The picked names (size per class) are then
+    broadcast to fetch their content.
     """
     order = W.partitionBy("label").orderBy(F.md5(F.concat("path", F.lit(str(seed)))), "path")
-    picked = images.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    picked = (
+        images.select("path", "label").withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    )
+    rows = images.select("path", "content").join(F.broadcast(picked), "path")
     name = F.element_at(F.split("path", "/"), -1)
-    return picked.select("label", "place", name.alias("filename"), data_uri(F.col("path"), F.col("content")).alias("data"))
+    return rows.select("label", "place", name.alias("filename"), data_uri(F.col("path"), F.col("content")).alias("data"))

@@ -126,16 +126,18 @@ def rolling_features(
     offset = F.col("_idx") - start
     running = by_idx.rowsBetween(W.unboundedPreceding, 0)
     for w in windows:
-        frame = by_idx.rowsBetween(-(w - 1), 0)
-        full = F.col("_idx") >= w - 1  # the grid has no holes after its first value
-        for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            cols[f"roll_{name}_{w}"] = F.when(full, agg(x).over(frame))
-        q = decay(w)
-        cols[f"_sum_{w}"] = F.sum(F.when(F.col("_idx") >= 0, x * F.pow(F.lit(q), -offset))).over(running)
+        cols[f"_sum_{w}"] = F.sum(F.when(F.col("_idx") >= 0, x * F.pow(F.lit(decay(w)), -offset))).over(running)
+    frames, later = _frames(windows)
+    for w in frames:
+        for name, column in _direct(x, by_idx, w).items():
+            cols[name] = column
     if online:
         cols["_old"] = F.lag(x, HALO).over(by_idx)
         cols["_first"] = F.first(F.when(F.col("_idx") >= 0, x), ignorenulls=True).over(running)
     out = haloed.select("*", *[c.alias(n) for n, c in cols.items()])
+    for small, w in later:
+        out = out.select("*", *[c.alias(n) for n, c in _nested(by_idx, small, w).items()])
+    out = out.withColumns({f"roll_std_{w}": F.sqrt(F.col(f"_m2_{w}") / F.lit(w - 1.0)) for w in windows})
     if online:
         out = out.withColumns({f"_old_{w}": F.lag(f"_sum_{w}", HALO).over(by_idx) for w in windows})
         out = out.withColumns({f"ewma_{w}": _buffered_mean(w, offset) for w in windows})
@@ -152,6 +154,52 @@ def rolling_features(
     return out.na.fill(0.0, subset=names) if online else out
 
 
+def _frames(windows: tuple[int, ...]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Which windows need a row frame, and which are a few shifted copies of a smaller one.
+
+    A frame costs its length per row; 60 = 4 x 15 and 15 = 3 x 5 cost a few lags.
+    """
+    direct, nested = [], []
+    for i, w in enumerate(sorted(windows)):
+        parts = [s for s in sorted(windows)[:i] if w % s == 0]
+        if parts:
+            nested.append((parts[-1], w))
+        else:
+            direct.append(w)
+    return direct, nested
+
+
+def _direct(x: Column, by_idx, w: int) -> dict[str, Column]:
+    frame = by_idx.rowsBetween(-(w - 1), 0)
+    full = F.col("_idx") >= w - 1  # the grid has no holes after its first value
+    return {
+        f"roll_mean_{w}": F.when(full, F.avg(x).over(frame)),
+        f"roll_min_{w}": F.when(full, F.min(x).over(frame)),
+        f"roll_max_{w}": F.when(full, F.max(x).over(frame)),
+        f"_m2_{w}": F.when(full, F.var_pop(x).over(frame) * F.lit(float(w))),
+    }
+
+
+def _nested(by_idx, small: int, w: int) -> dict[str, Column]:
+    """Window w from its w / small disjoint parts. Squared deviations are combined around
+    the joint mean, which loses no precision, unlike differences of running sums."""
+    shifted = lambda name: [F.col(f"{name}_{small}")] + [
+        F.lag(f"{name}_{small}", k * small).over(by_idx) for k in range(1, w // small)
+    ]
+    full = F.col("_idx") >= w - 1
+    means = shifted("roll_mean")
+    mean = sum(means[1:], means[0]) / F.lit(float(len(means)))
+    spread = sum(shifted("_m2"), F.lit(0.0)) + F.lit(float(small)) * sum(
+        ((m - mean) * (m - mean) for m in means), F.lit(0.0)
+    )
+    return {
+        f"roll_mean_{w}": F.when(full, mean),
+        f"roll_min_{w}": F.when(full, F.least(*shifted("roll_min"))),
+        f"roll_max_{w}": F.when(full, F.greatest(*shifted("roll_max"))),
+        f"_m2_{w}": F.when(full, spread),
+    }
+
+
 def _history_mean(w: int, offset: Column) -> Column:
     q = decay(w)
     local = F.col(f"_sum_{w}") * F.pow(F.lit(q), offset) * (1 - q)

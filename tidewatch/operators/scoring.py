@@ -39,18 +39,15 @@ def recommendation(feature: Column, reason: Column) -> Column:
 
 
 def top_deviation(stats: list[tuple[str, float, float]]) -> Column:
-    """Struct (feature, deviation, value, mean) of the feature farthest from its baseline.
+    """Struct (deviation, place) of the feature farthest from its baseline.
 
     `stats` is the baseline table of a model: a few dozen (feature, mean, std).
     Ties go to the feature that comes first in the contract.
     """
     entries = [
         F.struct(
-            (F.abs(F.col(name) - F.lit(mean)) / (F.lit(std) + F.lit(EPS))).alias("deviation"),
-            F.lit(-i).alias("priority"),
-            F.lit(name).alias("feature"),
-            F.col(name).alias("value"),
-            F.lit(mean).alias("mean"),
+            (F.abs(F.col(name) - F.lit(mean)) / F.lit(std + EPS)).alias("deviation"),
+            F.lit(-i).alias("place"),
         )
         for i, (name, mean, std) in enumerate(stats)
     ]
@@ -67,22 +64,27 @@ def explain(df: DataFrame, stats: list[tuple[str, float, float]]) -> DataFrame:
                 "reason": F.lit("No explanation available (feature stats missing)."),
             }
         )
+    names, means, _ = zip(*stats)
     top = df.withColumn("_top", top_deviation(stats))
-    text = F.format_string(
-        "'%s' is %.1f std devs from baseline (%.3f vs normal %.3f).",
-        F.col("_top.feature"),
-        F.col("_top.deviation"),
-        F.col("_top.value"),
-        F.col("_top.mean"),
-    )
-    hint = recommendation(F.col("_top.feature"), text)
-    return top.withColumns(
+    place = -F.col("_top.place")
+    # one lookup by place instead of carrying name, value and mean through 22 structs
+    top = top.withColumns(
         {
-            "feature": F.col("_top.feature"),
+            "feature": F.get(F.array(*[F.lit(n) for n in names]), place),
             "deviation": F.col("_top.deviation"),
-            "reason": F.concat(text, F.lit(" Rec: "), hint, F.lit(".")),
+            "_value": F.get(F.array(*[F.col(n) for n in names]), place),
+            "_mean": F.get(F.array(*[F.lit(m) for m in means]), place),
         }
-    ).drop("_top")
+    )
+    text = F.format_string(
+        "'%s' is %.1f std devs from baseline (%.3f vs normal %.3f).",
+        F.col("feature"),
+        F.col("deviation"),
+        F.col("_value"),
+        F.col("_mean"),
+    )
+    hint = recommendation(F.col("feature"), text)
+    return top.withColumn("reason", F.concat(text, F.lit(" Rec: "), hint, F.lit("."))).drop("_top", "_value", "_mean")
 
 
 def decide(df: DataFrame, threshold: Column, model: Column, explanation: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import clean, features, splits
+from tidewatch.plans.store import stored
 from tidewatch.sources.series import event_readings
 
 # fixed values: labelled failure windows of the event series, both ends inclusive
@@ -33,8 +34,14 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.to_grid(event_readings(spark, sf_dir))
 
 
+def stored_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned series is read several times per plan (bounds of the scaler, carried
+    means, features), so it is written once, narrow and compressed."""
+    return stored(spark, sf_dir, "grid", lambda: grid(spark, sf_dir))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.chronological_split(splits.label_windows(grid(spark, sf_dir), EVENT_WINDOWS))
+    return splits.chronological_split(splits.label_windows(stored_grid(spark, sf_dir), EVENT_WINDOWS))
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

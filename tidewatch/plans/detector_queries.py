@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, splits, thresholds, vibration
 from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, tuning
 from tidewatch.plans import retraining
-from tidewatch.plans.base import fragment, grid, r, rsql, scaled, with_ctes
+from tidewatch.plans.base import fragment, r, rsql, scaled, stored_grid, with_ctes
 from tidewatch.plans.evaluation_queries import feature_store, model_scores
 from tidewatch.plans.operations_queries import readings_table, registry_table
 from tidewatch.plans.store import stored
@@ -472,7 +472,7 @@ def injected_sql(schedule: str, value: str) -> str:
     ),
 )
 def injected(spark, sf):
-    out = faults.inject(grid(spark, sf), fault_schedule(spark, sf))
+    out = faults.inject(stored_grid(spark, sf), fault_schedule(spark, sf))
     return out.select(*ROW, "fault_id", "fault_type", "step", r("injected").alias("injected"))
 
 
@@ -485,14 +485,14 @@ def injected(spark, sf):
     ),
 )
 def injected_legacy(spark, sf):
-    out = faults.inject(grid(spark, sf), fault_schedule(spark, sf, LEGACY_KINDS), legacy=True)
+    out = faults.inject(stored_grid(spark, sf), fault_schedule(spark, sf, LEGACY_KINDS), legacy=True)
     return out.select(*ROW, "fault_id", "fault_type", "step", r("injected").alias("injected"))
 
 
 @query("inject_noise")
 def noisy(spark, sf):
     """Noise is drawn from a hash of the row, so every run gives the same values."""
-    out = faults.inject(grid(spark, sf), fault_schedule(spark, sf, ("noise_burst",)))
+    out = faults.inject(stored_grid(spark, sf), fault_schedule(spark, sf, ("noise_burst",)))
     return out.select(*ROW, "fault_id", "step", "value", "injected")
 
 

@@ -397,8 +397,12 @@ def chart_rows(spark, sf):
 
 def stats_list(spark: SparkSession, sf: str) -> list[tuple[str, float, float]]:
     """The baseline table as literals: one row per contract feature (22)."""
-    rows = clean.drop_incomplete(splits.normal_rows(feature_store(spark, sf)), features.FEATURES)
-    table = features.baseline_stats(rows).collect()
+
+    def build() -> DataFrame:
+        rows = clean.drop_incomplete(splits.normal_rows(feature_store(spark, sf)), features.FEATURES)
+        return features.baseline_stats(rows)
+
+    table = stored(spark, sf, "baseline", build).collect()
     return [(s["feature"], s["mean"], s["std"]) for s in sorted(table, key=lambda s: s["ord"])]
 
 

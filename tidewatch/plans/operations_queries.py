@@ -196,12 +196,10 @@ def drift_latest(spark, sf):
 
 def scored_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a stored reading, scored by its distance from the sensor's mean."""
-    rows = event_readings(spark, sf)
+    latency = F.get_json_object("props", "$.k").cast("double") / 10.0
+    rows = event_readings(spark, sf, extra=(latency.alias("inference_ms"),))
     moments = rows.groupBy("sensor_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    latency = table(spark, sf, "events").select(
-        F.col("event_id").alias("seq"), (F.get_json_object("props", "$.k").cast("double") / 10.0).alias("inference_ms")
-    )
-    scored = rows.join(latency, "seq").join(moments, "sensor_id").withColumn(
+    scored = rows.join(moments, "sensor_id").withColumn(
         "score", F.round(F.abs(F.col("value") - F.col("mean")) / F.col("std"), 6)
     )
     decided = scoring.decide(scored, F.lit(LIMIT), F.lit("zscore"), F.lit("far from the mean"))

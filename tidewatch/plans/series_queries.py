@@ -14,6 +14,7 @@ from tidewatch.plans.base import (
     rsql,
     scaled,
     slots,
+    stored_grid,
     with_ctes,
 )
 from tidewatch.sources.series import event_readings, normalise_value_column, order_readings, table
@@ -95,7 +96,7 @@ def filled(spark, sf):
     ),
 )
 def blocks(spark, sf):
-    return clean.gap_blocks(grid(spark, sf))
+    return clean.gap_blocks(stored_grid(spark, sf))
 
 
 @query(
@@ -153,7 +154,7 @@ def labels_joined(spark, sf):
         .agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
         .drop("day")
     )
-    rows = grid(spark, sf).select("sensor_id", "pos", "ts")
+    rows = stored_grid(spark, sf).select("sensor_id", "pos", "ts")
     return splits.label_from_table(rows, known)
 
 
@@ -346,6 +347,6 @@ def causality(spark, sf):
     ),
 )
 def retrain_features(spark, sf):
-    rows = features.retraining_features(grid(spark, sf))
+    rows = features.retraining_features(stored_grid(spark, sf))
     names = ("rolling_mean", "rolling_std", "value_diff_1", "value_diff_2")
     return rows.select("sensor_id", "pos", *[r(c).alias(c) for c in names])

@@ -30,9 +30,18 @@ def local_session(cores: str = "8", app: str = "tidewatch", **extra: str) -> Spa
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Timestamps are compared and printed in UTC everywhere."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Timestamps are compared and printed in UTC everywhere.
+
+    Window and Arrow stages here are bound by computing, not by bytes: a small
+    minimum lets AQE keep one partition per core where the data is small. Large
+    shuffles are not affected, their partitions are above any minimum.
+    """
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    }.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.schemas import RAW_SERIES
@@ -34,18 +34,21 @@ def normalise_value_column(df: DataFrame, name: str = "value") -> DataFrame:
     return df.withColumnRenamed(numeric[0], name) if numeric else df
 
 
-def as_readings(df: DataFrame, sensor: str, ts: str, value: str, seq: str) -> DataFrame:
-    """Any table as readings: (sensor_id, ts, value, seq); seq is the ingestion order."""
+def as_readings(df: DataFrame, sensor: str, ts: str, value: str, seq: str, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """Any table as readings: (sensor_id, ts, value, seq, extra...); seq is the ingestion order."""
     return df.select(
         F.col(sensor).cast("string").alias("sensor_id"),
         F.col(ts).cast("timestamp").alias("ts"),
         nan_to_null(F.col(value).cast("double")).alias("value"),
         F.col(seq).cast("bigint").alias("seq"),
+        *extra,
     )
 
 
-def event_readings(spark: SparkSession, sf_dir: str, sensor: str = "event_type") -> DataFrame:
-    return as_readings(table(spark, sf_dir, "events"), sensor, "ts", "value", "event_id")
+def event_readings(
+    spark: SparkSession, sf_dir: str, sensor: str = "event_type", extra: tuple[Column, ...] = ()
+) -> DataFrame:
+    return as_readings(table(spark, sf_dir, "events"), sensor, "ts", "value", "event_id", extra)
 
 
 def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
