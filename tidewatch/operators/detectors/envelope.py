@@ -84,7 +84,7 @@ def quantile_of(column: Column, rows: DataFrame, p: float) -> float:
 def rough_quantile(column: Column, rows: DataFrame, p: float) -> float:
     """Rank error 1e-4: enough to choose the rows of a concentration step, and it needs
     no shuffle of the rows."""
-    return rows.select(column.alias("d")).agg(F.percentile_approx("d", p, 10000)).first()[0]
+    return rows.select(column.alias("d")).agg(F.percentile_approx("d", float(p), 10000).alias("q")).first()["q"]
 
 
 def concentrate(rows: DataFrame, mean: np.ndarray, cov: np.ndarray, share: float, steps: int):
