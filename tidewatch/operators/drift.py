@@ -172,9 +172,10 @@ def append_history(history: DataFrame, new: DataFrame, ties: list[str] | None =
     return both.orderBy(F.col("timestamp").desc(), *[F.col(c).desc() for c in ties or []]).limit(keep)
 
 
-def latest_status(history: DataFrame) -> DataFrame:
+def latest_status(history: DataFrame, ties: list[str] | None = None) -> DataFrame:
     """The newest status row; a quiet default row when there is no history."""
-    newest = history.agg(F.max_by(F.struct("timestamp", "status", "psi"), "timestamp").alias("s"))
+    order = F.struct("timestamp", *(ties or []))
+    newest = history.agg(F.max_by(F.struct("timestamp", "status", "psi"), order).alias("s"))
     return newest.select(
         F.col("s.timestamp").alias("timestamp"),
         F.coalesce("s.status", F.lit("stable")).alias("status"),

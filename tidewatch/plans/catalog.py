@@ -16,4 +16,6 @@ for _area in AREAS:
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["rolling_features"](spark, sf_dir)
+    """Raw events to explained anomalies: clean, label, split, scale, features, rule."""
+    table = evaluation_queries.feature_store(spark, sf_dir)
+    return evaluation_queries.anomalous_readings(table, evaluation_queries.stats_list(spark, sf_dir))

@@ -510,3 +510,32 @@ def decided(spark, sf):
     )
     out = scoring.decide(rows, F.lit(1.0), F.lit("zscore"), F.lit("above limit"))
     return out.select("event_id", r("anomaly_score").alias("anomaly_score"), "is_anomaly", "severity", "reason", "model")
+
+
+SERVING_K = 2.5
+
+
+def anomalous_readings(features_: DataFrame, stats: list[tuple[str, float, float]]) -> DataFrame:
+    """Scored rows by the 15-step rule with severity and reason; only the anomalies."""
+    scored = features_.withColumn("score", F.round(F.abs("zscore_15"), 6))
+    explained = scoring.explain(scored, stats).withColumnRenamed("reason", "why")
+    decided = scoring.decide(explained, F.lit(SERVING_K), F.lit("rolling_zscore"), F.col("why"))
+    return decided.where("is_anomaly").select(
+        "sensor_id", "pos", "ts", "value", "anomaly_score", "severity", "feature", "reason", "model"
+    )
+
+
+@query(
+    "anomalous_readings",
+    with_ctes(
+        ["zscores"],
+        """SELECT sensor_id, pos, ts, round(value, 6) + 0.0::DOUBLE AS value, round(abs(zscore_15), 6) AS anomaly_score,
+                  CASE WHEN round(abs(zscore_15), 6) - 2.5 < 1 THEN 'low' WHEN round(abs(zscore_15), 6) - 2.5 < 3 THEN 'medium' ELSE 'high' END AS severity,
+                  'rolling_zscore' AS model
+           FROM zscores WHERE round(abs(zscore_15), 6) > 2.5""",
+    ),
+)
+def anomalous(spark, sf):
+    """Which five-minute readings are anomalous, per sensor."""
+    out = anomalous_readings(feature_store(spark, sf), stats_list(spark, sf))
+    return out.select("sensor_id", "pos", "ts", r("value").alias("value"), "anomaly_score", "severity", "model")

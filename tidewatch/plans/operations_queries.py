@@ -182,13 +182,12 @@ def drift_history(spark, sf):
     "drift_latest_status",
     with_ctes(
         ["daily_status"],
-        "SELECT window_start AS timestamp, status, psi FROM daily_status WHERE sensor_id = 'click' ORDER BY window_start DESC LIMIT 1",
+        "SELECT window_start AS timestamp, status, psi FROM daily_status ORDER BY window_start DESC, sensor_id DESC LIMIT 1",
     ),
 )
 def drift_latest(spark, sf):
-    rows = daily_status(spark, sf).where(F.col("sensor_id") == "click")
-    out = drift.latest_status(rows.select(F.col("window_start").alias("timestamp"), "status", "psi"))
-    return out.withColumn("psi", r("psi"))
+    rows = daily_status(spark, sf).select(F.col("window_start").alias("timestamp"), "sensor_id", "status", "psi")
+    return drift.latest_status(rows, ["sensor_id"]).withColumn("psi", r("psi"))
 
 
 # ---- readings and alerts ------------------------------------------------------
@@ -200,7 +199,8 @@ def scored_readings(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_readings(spark, sf, extra=(latency.alias("inference_ms"),))
     moments = rows.groupBy("sensor_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     scored = rows.join(moments, "sensor_id").withColumn(
-        "score", F.round(F.abs(F.col("value") - F.col("mean")) / F.col("std"), 6)
+        # a constant sensor has no spread: no score, which the fallback rules handle
+        "score", F.round(F.abs(F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)), 6)
     )
     decided = scoring.decide(scored, F.lit(LIMIT), F.lit("zscore"), F.lit("far from the mean"))
     return decided.select(
