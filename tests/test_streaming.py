@@ -93,6 +93,26 @@ def test_scoring_without_model_and_idempotent_sink(spark, tmp_path):
     assert len(rows) == 5 and {r["reason"] for r in rows} == {"Model or features not loaded"}
 
 
+def test_faults_reach_the_scores(spark, tmp_path):
+    """A missing-value fault and a spike pass through two stateful operators in one query."""
+    sources.use_rocksdb(spark)
+
+    class RocScore:
+        def transform(self, df, name="score"):
+            return df.withColumn(name, F.abs("roc"))
+
+    scaler = spark.createDataFrame([("s", 0.0, 1.0)], "sensor_id string, mean double, scale double")
+    plan = [(1, "s", "missing_values", 0, 2, 0.0), (2, "s", "spike", 1704067200000000 + 10 * 300_000_000, 1, 50.0)]
+    frame(spark, [("s", i, 1.0) for i in range(20)]).select("sensor_id", "ts", "seq", "value").write.parquet(str(tmp_path / "in"))
+    stream = sources.reading_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    scored = scoring.score_stream(stream, scaler, RocScore(), 10.0, "roc", [("roc", 0.0, 1.0)], schedule=plan)
+    scoring.run_available(scored, str(tmp_path / "cp"), scoring.table_sink(str(tmp_path / "t")))
+    rows = {r["id"]: r for r in scoring.read_sink(spark, str(tmp_path / "t"), "readings").collect()}
+    assert [rows[i]["reason"] for i in (0, 1)] == ["Missing value injected"] * 2
+    assert sorted(i for i in rows if rows[i]["is_anomaly"]) == [10, 11]
+    assert scoring.read_sink(spark, str(tmp_path / "t"), "alerts").count() == 2
+
+
 def test_watermark_drops_and_counts(spark, tmp_path):
     inbox = str(tmp_path / "in")
     schema = STREAM_SCHEMA

@@ -19,8 +19,8 @@ from tidewatch.session import pin, scratch_path
 from tidewatch.streaming import buffer, drift, scoring, sources
 
 QUERIES, ORACLES = {}, {}
-# fixed values: the event history arrives in three deliveries
-DELIVERIES = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+# fixed value: the event history arrives in two deliveries, cut here
+DELIVERY_CUT = "2024-01-16 00:00:00"
 STREAM_SCHEMA = T.StructType(
     [
         T.StructField("sensor_id", T.StringType()),
@@ -47,10 +47,9 @@ def grid_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deliver(rows: DataFrame, path: str):
-    """Append the rows to `path` in three deliveries; yields after each."""
-    cuts = [F.lit(c).cast("timestamp") for c in DELIVERIES]
-    bounds = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
-    for inside in bounds:
+    """Append the rows to `path` in two deliveries; yields after each."""
+    cut = F.lit(DELIVERY_CUT).cast("timestamp")
+    for inside in (F.col("ts") < cut, F.col("ts") >= cut):
         rows.where(inside).write.mode("append").parquet(path)
         yield
 
@@ -69,7 +68,7 @@ def run_deliveries(spark: SparkSession, rows: DataFrame, build, sink) -> None:
     with_ctes(["online_features"], f"SELECT sensor_id, pos, false AS late, {FEATURE_SQL} FROM online_features"),
 )
 def stream_features(spark, sf):
-    """Equal to the batch online features, although state crosses two restarts."""
+    """Equal to the batch online features, although the state crosses a restart."""
     out = scratch_path(spark, "stream-features")
     run_deliveries(spark, grid_rows(spark, sf), buffer.online_features, out)
     rows = spark.read.schema(buffer.OUTPUT).parquet(out)
