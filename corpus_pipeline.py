@@ -6,21 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontamination, exact_dedup
+from tidewatch.llm import decontamination, exact_dedup, pieces, simhash, toxicity
 from tidewatch.llm.common import checkpoint_dir, table
 
 
+def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the labelled documents among `docs`."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("decontamination", decontaminate)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their whole texts."""
+    return pieces.encoded(docs, pieces.read_model())
+
+
+STAGES = [
+    ("toxicity", ordinary),
+    ("exact_dedup", exact),
+    ("simhash", near),
+    ("decontamination", decontaminate),
+    ("pieces", encode),
+]
 
 #: Toxicity scores and piece ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

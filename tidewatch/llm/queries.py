@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontamination, exact_dedup
+from tidewatch.llm import decontamination, exact_dedup, pieces, simhash, toxicity
 from tidewatch.llm.common import table
 
 
@@ -14,12 +14,35 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they give it back."""
+    model = pieces.read_model()
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.decoded(pieces.encoded(rows, model), model, out_col="decoded")
+    return rows.select(
+        "doc_id",
+        "ids",
+        F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op7_exact_dedup)
+    f.__name__: f for f in (op2_decontamination, op5_pieces, op7_exact_dedup, op9_simhash, op10_toxicity)
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
