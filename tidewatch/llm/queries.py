@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontamination, exact_dedup, pieces, simhash, toxicity
+from tidewatch.llm import chat, decontamination, exact_dedup, language, pieces, sharding, simhash, toxicity
 from tidewatch.llm.common import table
 
 
@@ -14,6 +14,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predictions(docs, language.fit(docs))
+
+
+#: A conversation whose texts hold what a template could mistake for its own marks.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    return chat.digests(chat.format_chats(rows.union(tricky)))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they give it back."""
     model = pieces.read_model()
@@ -28,6 +43,10 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +61,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op5_pieces, op7_exact_dedup, op9_simhash, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op2_decontamination,
+        op3_language,
+        op4_chat,
+        op5_pieces,
+        op6_sharding,
+        op7_exact_dedup,
+        op9_simhash,
+        op10_toxicity,
+    )
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,6 +102,23 @@ positions AS (
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
        sha256(coalesce(t.list, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)""",
+    "op4_chat": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)
+), marked AS (
+  SELECT *, length(replace(text, '\', '\\'))
+    - (length(text) - length(replace(text, '<turn>', '123')))
+    - (length(text) - length(replace(text, '<text>', '123')))
+    - (length(text) - length(replace(text, '</turn>', '123')))
+    - (length(text) - length(replace(text, '<|endoftext|>', '123'))) AS body
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<turn>') + length(role) + length('<text>') + body + length('</turn>'))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
