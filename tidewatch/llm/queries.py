@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, decontamination, exact_dedup, language, pieces, sharding, simhash, toxicity
+from tidewatch.llm import chat, decontamination, exact_dedup, html, language, pieces, sharding, simhash, toxicity
 from tidewatch.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pieces,
         op6_sharding,
         op7_exact_dedup,
+        op8_html,
         op9_simhash,
         op10_toxicity,
     )
