@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import chat, decontamination, exact_dedup, html, language, pieces, sharding, simhash, toxicity
-from tidewatch.llm.common import table
+from tidewatch.llm import chat, decontamination, exact_dedup, html, language, pieces, secrets, sharding, simhash, toxicity
+from tidewatch.llm.common import checkpointed, table
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all documents, scored by a forest that learns from the findings the rule can label."""
+    docs = table(spark, sf_dir, "documents")
+    found = checkpointed(secrets.labelled_by_rule(secrets.candidates(docs)))
+    return secrets.scan(docs, secrets.fit(found))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secrets,
         op2_decontamination,
         op3_language,
         op4_chat,
