@@ -21,7 +21,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as spm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -181,6 +182,11 @@ def read_model(path: str = MODEL) -> bytes:
         return file.read()
 
 
+def _with(rows: DataFrame, name: str, kind: DataType) -> StructType:
+    """The rows' columns and one more, nullable."""
+    return StructType([*rows.schema.fields, StructField(name, kind, True)])
+
+
 def encoded(docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """All rows and columns of `docs` with one more: the ids of the whole text (null for null).
 
@@ -195,8 +201,7 @@ def encoded(docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str
             columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, out_col])
 
-    schema = rest.withColumn(out_col, F.array().cast("array<int>")).schema
-    return rest.mapInArrow(encode, schema)
+    return rest.mapInArrow(encode, _with(rest, out_col, ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, proto: bytes, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -211,4 +216,4 @@ def decoded(rows: DataFrame, proto: bytes, ids_col: str = "ids", out_col: str =
             columns = [*batch.columns, pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, out_col])
 
-    return rest.mapInArrow(decode, rest.withColumn(out_col, F.lit("")).schema)
+    return rest.mapInArrow(decode, _with(rest, out_col, StringType()))
