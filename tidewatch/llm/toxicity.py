@@ -40,15 +40,13 @@ def _grams(word: str) -> set[bytes]:
     return {raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1)}
 
 
-def _frequency(texts: list[list[str]], known: dict[str, set[bytes]]) -> Counter:
+def _frequency(texts: list[list[str]]) -> Counter:
     """In how many texts each gram occurs."""
     found: Counter = Counter()
     for words in texts:
         grams: set[bytes] = set()
         for word in words:
-            if word not in known:
-                known[word] = _grams(word)
-            grams |= known[word]
+            grams |= _grams(word)
         found.update(grams)
     return found
 
@@ -80,8 +78,7 @@ def train_dictionary(own: list[list[str]], other: list[list[str]], lift: float,
 
     Grams are taken greedily by the number of texts they cover that are not covered four
     times yet, and grown to the stretch they belong to."""
-    known: dict[str, set[bytes]] = {}
-    mine, theirs = _frequency(own, known), _frequency(other, known)
+    mine, theirs = _frequency(own), _frequency(other)
     floor = max(3, len(own) // 300)
 
     def contrast(gram: bytes) -> float:
@@ -93,7 +90,7 @@ def train_dictionary(own: list[list[str]], other: list[list[str]], lift: float,
     for text in own:
         grams: set[bytes] = set()
         for word in text:
-            if hit := known[word] & useful:
+            if hit := _grams(word) & useful:
                 grams |= hit
                 words[word] += 1
         holds.append(grams)
@@ -213,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     share = F.lit(0.0)
     for label, most in sample.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, most / max(1, sizes.get(label, 1))))).otherwise(share)
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    # About as many rows as `sample` names, of two numbers each: small enough to broadcast at any size.
+    known = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(f"octet_length(text) <= {LONGEST}")
     rows = texts.join(known, "doc_id").select("toxic", "text").collect()  # bounded by `sample`
     rows.sort()
