@@ -15,8 +15,10 @@ Texts come back exactly, also a literal space mark (U+2581), which is written as
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -55,9 +57,15 @@ class Pieces:
         ]
         self.width = max(map(len, self.ids))
         self.unknown = min(self.scores.values(), default=0.0) - 10
-        self.begins = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.tree: dict = {}  # a piece's characters one by one; its own text stands under the key ""
+        for piece in self.ids:
+            node = self.tree
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = piece
         self.stretches = re.compile(self._stretch_pattern()).findall
         self._fit: dict[tuple[str, str], bool] = {}
+        self._halves: dict[str, tuple[str, str]] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
 
     def _stretch_pattern(self) -> str:
@@ -89,38 +97,84 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def halves(self, piece: str) -> tuple[str, str]:
+        """The two parts of a piece's last merge."""
+        found = self._halves.get(piece)
+        if found is None:
+            parts = list(piece)
+            while len(parts) > 2:
+                best, at = None, 0
+                for k in range(len(parts) - 1):
+                    score = self.scores.get(parts[k] + parts[k + 1])
+                    if score is not None and (best is None or score > best):
+                        best, at = score, k
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if best is None:
+                    break
+            found = self._halves[piece] = (parts[0], parts[-1])
+        return found
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether two neighbours stay the pieces they are; with an empty left one, whether the piece can arise."""
+        """Whether two neighbours stay the pieces they are; with an empty left one, whether the piece can arise.
+
+        The merges that made them are taken back, the latest first: what then stands at the border
+        must not have been merged across it before. Runs of space marks, whose scores are equal,
+        and single pieces are merged in full."""
         fit = self._fit.get((left, right))
-        if fit is None:
-            if len(self._fit) > MEMO:
-                self._fit.clear()
-            fit = self._fit[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        if fit is not None:
+            return fit
+        if len(self._fit) > MEMO:
+            self._fit.clear()
+        key = (left, right)
+        if not left or MARK + MARK in left + right:
+            fit = self.merged(left + right) == ([left, right] if left else [right])
+        else:
+            scores, limit, fit = self.scores, -math.inf, True
+            made_left = scores[left] if len(left) > 1 else math.inf
+            made_right = scores[right] if len(right) > 1 else math.inf
+            first_of_two = False  # at equal scores the left merge comes first
+            while True:
+                joint = scores.get(left + right)
+                if joint is not None and (joint > limit or (first_of_two and joint == limit)):
+                    fit = False
+                    break
+                if made_left < made_right:
+                    limit, first_of_two = made_left, False
+                    left = self.halves(left)[1]
+                    made_left = scores[left] if len(left) > 1 else math.inf
+                elif len(right) > 1:
+                    limit, first_of_two = made_right, True
+                    right = self.halves(right)[0]
+                    made_right = scores[right] if len(right) > 1 else math.inf
+                else:
+                    break
+        self._fit[key] = fit
         return fit
 
     def search(self, text: str) -> Iterator[list[str]]:
         """Committed pieces of a text in order. Alive: one path for each of the last boundaries."""
         paths: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}
-        scores, begins, bpe, size = self.scores, self.begins, self.bpe, len(text)
+        scores, tree, bpe, fit, size = self.scores, self.tree, self.bpe, self._fit, len(text)
         done, look = 0, 4 * self.width
         for i in range(size):
-            if i not in paths:
+            path = paths.get(i)
+            if path is None:
                 continue
-            score, _, last = paths[i]
-            for j in range(i + 1, min(size, i + self.width) + 1):
-                piece = text[i:j]
-                if piece not in begins and j > i + 1:
-                    break
-                own = scores.get(piece)
-                if own is None:
-                    if j > i + 1:
-                        continue
-                    own = self.unknown
-                if bpe:
-                    if j not in paths and self.apart(last, piece):
-                        paths[j] = (0.0, i, piece)
-                elif j not in paths or score + own > paths[j][0]:
-                    paths[j] = (score + own, i, piece)
+            score, _, last = path
+            node, j = tree, i
+            while j < size and (node := node.get(text[j])) is not None:
+                j += 1
+                piece = node.get("")
+                if piece is None or (bpe and j in paths):
+                    continue
+                if not bpe:
+                    if j not in paths or score + scores[piece] > paths[j][0]:
+                        paths[j] = (score + scores[piece], i, piece)
+                elif fit[last, piece] if (last, piece) in fit else self.apart(last, piece):
+                    paths[j] = (0.0, i, piece)
+            if text[i] not in scores and (not bpe or i + 1 not in paths):  # a character without a piece
+                if i + 1 not in paths or score + self.unknown > paths[i + 1][0]:
+                    paths[i + 1] = (score + self.unknown, i, text[i])
             if i >= look:
                 look = i + self.width
                 alive = {j for j in paths if j > i}
@@ -177,6 +231,12 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def load(proto: bytes) -> Pieces:
+    """The vocabulary, kept with what it remembers for the next task of the same worker."""
+    return Pieces(proto)
+
+
 def read_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -195,7 +255,7 @@ def encoded(docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str
     at = rest.columns.index(text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto)
+        pieces = load(proto)
         for batch in batches:
             ids = [None if not t.is_valid else np.array(pieces.encode(t.as_py()), np.int32) for t in batch.column(at)]
             columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
@@ -210,7 +270,7 @@ def decoded(rows: DataFrame, proto: bytes, ids_col: str = "ids", out_col: str =
     at = rest.columns.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto)
+        pieces = load(proto)
         for batch in batches:
             texts = [pieces.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(at)]
             columns = [*batch.columns, pa.array(texts, pa.string())]
