@@ -216,3 +216,12 @@ def test_tuning_takes_the_first_best(planted):
 
     model, value, threshold = tuning.tune(lambda v: Fixed(v), [-1.0, 1.0, 1.0], df)
     assert value == 1.0 and threshold > 0
+
+
+def test_covariance_far_from_zero(spark):
+    import numpy as np
+
+    rows = np.random.default_rng(1).normal(size=(2000, 2)) + 1e8
+    df = spark.createDataFrame([(r.tolist(),) for r in rows], "x array<double>").repartition(5)
+    n, mean, cov = base.mean_and_cov(df)
+    assert n == 2000 and np.allclose(mean, rows.mean(axis=0)) and np.allclose(cov, np.cov(rows.T, bias=True), atol=1e-4)

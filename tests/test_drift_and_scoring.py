@@ -109,3 +109,11 @@ def test_fallbacks(spark):
         (0.0, "none", "Model or features not loaded", "none"),
         (9.0, "high", "why", "m"),
     ]
+
+
+def test_explanation_with_a_baseline_of_one_row(spark):
+    from tidewatch.operators import scoring
+
+    df = spark.createDataFrame([(5.0, 1.0)], "a double, b double")
+    row = scoring.explain(df, [("a", 5.0, None), ("b", None, None)]).first()
+    assert row["feature"] == "a" and row["deviation"] == 0.0

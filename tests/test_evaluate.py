@@ -121,3 +121,20 @@ def test_percentile_fallback(spark):
 def test_midpoint(spark):
     r = thresholds.midpoint(frame(spark, [0, 0, 1, 1], [1.0, 3.0, 6.0, 8.0]), ["model"]).first()
     assert (r["good_mean"], r["defect_mean"], r["threshold"]) == (2.0, 7.0, 4.5)
+
+
+@pytest.mark.parametrize("points", [100, 127, 128, 200, 1000])
+def test_sweeps_of_any_width(spark, points):
+    import random
+
+    from tidewatch.operators import thresholds
+
+    rng = random.Random(2)
+    rows = [("m", rng.gauss(2.0 if i < 100 else 0.0, 0.4), int(i < 100)) for i in range(1000)]
+    scores = spark.createDataFrame(rows, "model string, score double, label int")
+    swept = thresholds.sweep(scores, ["model"], thresholds.linear_grid(scores, ["model"], points)).collect()
+    assert len(swept) == points
+    for r in swept:
+        assert r["predicted"] == sum(s > r["threshold"] for _, s, _ in rows)
+        assert r["tp"] == sum(s > r["threshold"] and label for _, s, label in rows)
+    assert max(r["f1"] for r in swept) > 0.95

@@ -64,3 +64,30 @@ def test_count_below(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 4, 9.5, 12)], "v double")
     got = df.select(scan.count_below(F.array(*[F.lit(a) for a in array]), F.col("v"), 3).alias("n")).collect()
     assert [r["n"] for r in got] == [sum(a < v for a in array) for v in (0, 1, 2, 3, 4, 9.5, 12)]
+
+
+def test_binary_search_follows_the_arrays_size(spark):
+    from pyspark.sql import functions as F
+
+    for size in (0, 1, 2, 127, 128, 200, 1000):
+        array = [float(2 * i) for i in range(size)]
+        values = [-1.0, 0.0, 1.0, float(size), float(2 * size - 1), 1e9]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        grid = F.array(*[F.lit(a) for a in array]).cast("array<double>")
+        got = [r["n"] for r in df.select(scan.count_below(grid, F.col("v")).alias("n")).collect()]
+        assert got == [sum(a < v for a in array) for v in values], size
+
+
+def test_row_number_keeps_null_keys_and_cuts_common_values(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BUCKET_ROWS", 50)
+    rows = [(None if i % 3 == 0 else "k", 1.0 if i % 2 else float(i % 17), i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k string, v double, i bigint").repartition(5)
+    got = {r["i"]: r["n"] for r in scan.row_number(df, ["k"], "v", ["i"], "n").collect()}
+    assert len(got) == len(rows)
+    for key in (None, "k"):
+        order = sorted((v, i) for k, v, i in rows if k == key)
+        assert [got[i] for _, i in order] == list(range(len(order)))
+    # The value half of all rows share does not stay in one part.
+    placed = scan.add_bucket(df, ["k"], "v")
+    parts = scan.split_ties(placed, ["k"], "v", "i").groupBy("k", "_part").count()
+    assert parts.agg({"count": "max"}).first()[0] < 200

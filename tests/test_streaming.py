@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_features import by_pandas, walk
 from tidewatch.operators import features
 from tidewatch.plans.streaming_queries import STREAM_SCHEMA
-from tidewatch.streaming import buffer, drift, faults, scoring, sources
+from tidewatch.streaming import buffer, drift, scoring, sources
 
 ORIGIN = datetime.datetime(2024, 1, 1)
 
@@ -62,24 +62,6 @@ def test_warm_start(spark, tmp_path):
     assert row["ewma_60"] == pytest.approx(want["ewma_60"]) and row["roll_mean_60"] == pytest.approx(want["roll_mean_60"])
 
 
-def test_fault_steps_count_arrivals(spark, tmp_path):
-    us = lambda i: int((ORIGIN - datetime.datetime(1970, 1, 1)).total_seconds() * 1e6) + i * 300_000_000
-    plan = [(1, "s", "gradual_drift", us(2), 4, 8.0), (2, "s", "vibration_fault", us(0), 9, 1.0), (3, "t", "sensor_stuck", us(0), 2, 0.0)]
-    parts = [[("s", 0, 0.0), ("s", 2, 0.0), ("t", 0, 5.0)], [("s", 9, 0.0), ("s", 10, 0.0), ("t", 1, 6.0), ("t", 2, 7.0)], [("s", 11, 0.0), ("s", 12, 0.0)]]
-    out = run(spark, tmp_path, parts, lambda d: faults.inject_stream(d, plan), faults.OUTPUT)
-    got = [(r["seq"], r["injected"], r["step"]) for r in out.where("sensor_id = 's'").orderBy("seq").collect()]
-    assert got == [(0, 0.0, None), (2, 0.0, 0), (9, 2.0, 1), (10, 4.0, 2), (11, 6.0, 3), (12, 0.0, None)]
-    assert [r["injected"] for r in out.where("sensor_id = 't'").orderBy("seq").collect()] == [5.0, 5.0, 7.0]
-
-
-def test_fault_stream_missing_and_noise(spark, tmp_path):
-    plan = [(1, "s", "missing_values", 0, 1, 0.0), (2, "t", "noise_burst", 0, 50, 1.0)]
-    rows = [("s", 0, 1.0), ("s", 1, 2.0)] + [("t", i, 0.0) for i in range(50)]
-    out = run(spark, tmp_path, [rows], lambda d: faults.inject_stream(d, plan), faults.OUTPUT)
-    assert [r["injected"] for r in out.where("sensor_id = 's'").orderBy("seq").collect()] == [None, 2.0]
-    assert 0.5 < out.where("sensor_id = 't'").agg(F.stddev("injected")).first()[0] < 1.5
-
-
 def test_scoring_without_model_and_idempotent_sink(spark, tmp_path):
     sources.use_rocksdb(spark)
     scaler = spark.createDataFrame([("s", 0.0, 1.0)], "sensor_id string, mean double, scale double")
@@ -93,24 +75,22 @@ def test_scoring_without_model_and_idempotent_sink(spark, tmp_path):
     assert len(rows) == 5 and {r["reason"] for r in rows} == {"Model or features not loaded"}
 
 
-def test_faults_reach_the_scores(spark, tmp_path):
-    """A missing-value fault and a spike pass through two stateful operators in one query."""
+def test_a_sensor_without_scaler_is_scored_on_its_raw_value(spark, tmp_path):
     sources.use_rocksdb(spark)
 
     class RocScore:
         def transform(self, df, name="score"):
             return df.withColumn(name, F.abs("roc"))
 
-    scaler = spark.createDataFrame([("s", 0.0, 1.0)], "sensor_id string, mean double, scale double")
-    plan = [(1, "s", "missing_values", 0, 2, 0.0), (2, "s", "spike", 1704067200000000 + 10 * 300_000_000, 1, 50.0)]
-    frame(spark, [("s", i, 1.0) for i in range(20)]).select("sensor_id", "ts", "seq", "value").write.parquet(str(tmp_path / "in"))
+    scaler = spark.createDataFrame([("s", 0.0, 2.0)], "sensor_id string, mean double, scale double")
+    rows = [("s", i, 50.0 if i == 10 else 1.0) for i in range(20)] + [("new", i, 30.0 if i == 5 else 1.0) for i in range(9)]
+    frame(spark, rows).select("sensor_id", "ts", "seq", "value").write.parquet(str(tmp_path / "in"))
     stream = sources.reading_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-    scored = scoring.score_stream(stream, scaler, RocScore(), 10.0, "roc", [("roc", 0.0, 1.0)], schedule=plan)
+    scored = scoring.score_stream(stream, scaler, RocScore(), 10.0, "roc", [("roc", 0.0, 1.0)])
     scoring.run_available(scored, str(tmp_path / "cp"), scoring.table_sink(str(tmp_path / "t")))
-    rows = {r["id"]: r for r in scoring.read_sink(spark, str(tmp_path / "t"), "readings").collect()}
-    assert [rows[i]["reason"] for i in (0, 1)] == ["Missing value injected"] * 2
-    assert sorted(i for i in rows if rows[i]["is_anomaly"]) == [10, 11]
-    assert scoring.read_sink(spark, str(tmp_path / "t"), "alerts").count() == 2
+    kept = scoring.read_sink(spark, str(tmp_path / "t"), "readings").collect()
+    assert len(kept) == 29
+    assert sorted((r["sensor_id"], r["id"]) for r in kept if r["is_anomaly"]) == [("new", 5), ("new", 6), ("s", 10), ("s", 11)]
 
 
 def test_watermark_drops_and_counts(spark, tmp_path):

@@ -32,27 +32,30 @@ def attach_sensor(df: DataFrame, sensor_id: str) -> DataFrame:
 
 
 def drop_duplicate_timestamps(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Keep the row ingested last per (sensor, ts): a hash aggregate with map-side
-    combine, so a timestamp with a third of all rows shrinks before the shuffle."""
+    """Keep the row ingested last per (sensor, ts), combined on the map side, so a timestamp
+    with a third of all rows shrinks before the shuffle. With numbers and times only it is
+    a hash aggregate; text columns make Spark sort first."""
     payload = [c for c in df.columns if c not in ("sensor_id", "ts")]
-    kept = df.groupBy("sensor_id", "ts").agg(
-        F.max_by(F.struct(*payload), F.coalesce(F.col(seq), F.lit(-1))).alias("row")
-    )
+    last = F.coalesce(F.col(seq), F.lit(-1))
+    fixed = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "decimal")
+    if all(kind.startswith(fixed) for name, kind in df.dtypes if name in payload):
+        return df.groupBy("sensor_id", "ts").agg(*[F.max_by(c, last).alias(c) for c in payload])
+    kept = df.groupBy("sensor_id", "ts").agg(F.max_by(F.struct(*payload), last).alias("row"))
     return kept.select("sensor_id", "ts", *[F.col(f"row.{c}").alias(c) for c in payload])
 
 
 def bucket_to_grid(df: DataFrame, step: int = STEP_SECONDS) -> DataFrame:
     """Snap off-grid readings to their slot; the last reading of a slot (ts, seq) wins."""
     slot = floor_div(F.unix_micros("ts"), step * 1_000_000) * step
+    # One fixed-width number in the order (ts, seq): a hash aggregate can hold it, a struct not.
+    seq = F.coalesce(F.col("seq").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)"))
+    last = (
+        F.unix_micros("ts").cast("decimal(18,0)") * F.lit("100000000000000000000").cast("decimal(21,0)") + seq
+    ).cast("decimal(38,0)")
     kept = df.groupBy("sensor_id", slot.alias("slot")).agg(
-        F.max_by(F.struct("value", "seq"), F.struct("ts", "seq")).alias("row")
-    )
-    return kept.select(
-        "sensor_id",
-        F.timestamp_seconds("slot").alias("ts"),
-        F.col("row.value").alias("value"),
-        F.col("row.seq").alias("seq"),
+        F.max_by("value", last).alias("value"), F.max_by("seq", last).alias("seq")
     )
+    return kept.select("sensor_id", F.timestamp_seconds("slot").alias("ts"), "value", "seq")
 
 
 def grid_bounds(df: DataFrame, step: int = STEP_SECONDS) -> DataFrame:

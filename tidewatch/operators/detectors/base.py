@@ -70,6 +70,12 @@ def moments(df: DataFrame, vector: str = "x", weight: str | None = None) -> tupl
 
 
 def mean_and_cov(df: DataFrame, vector: str = "x") -> tuple[float, np.ndarray, np.ndarray]:
-    n, total, cross = moments(df, vector)
-    mean = total / n
-    return n, mean, cross / n - np.outer(mean, mean)
+    """Count, mean and population covariance. Products are summed around the mean of a first
+    pass, so that a large offset of the data does not cancel them."""
+    n, total, _ = moments(df, vector)
+    centre = total / n
+    middle = F.array(*[F.lit(float(c)) for c in centre])
+    shifted = df.withColumn("_centred", F.zip_with(F.col(vector), middle, lambda x, c: x - c))
+    n, total, cross = moments(shifted, "_centred")
+    rest = total / n
+    return n, centre + rest, cross / n - np.outer(rest, rest)

@@ -14,7 +14,8 @@ def upsert(registry: DataFrame, entries: DataFrame, seq: str = "seq") -> DataFra
     """The newest record per name replaces the whole older record.
 
     Both sides carry (registered_at, seq); a missing registered_at becomes now.
-    A hash aggregate with map-side combine: a name registered a billion times is cheap.
+    Combined on the map side, so a name registered a billion times is shuffled once per task.
+    Records hold text and maps, for which Spark sorts before it combines.
     """
     stamped = entries.withColumn("registered_at", F.coalesce("registered_at", F.current_timestamp()))
     both = registry.withColumn("_new", F.lit(0)).unionByName(stamped.withColumn("_new", F.lit(1)))

@@ -12,21 +12,34 @@ from pyspark.sql import Window as W
 
 from tidewatch.operators.clean import CHUNK, floor_div
 
-MAX_BUCKETS = 16384
+BUCKET_ROWS = 1 << 16
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys that may be NULL: NULL meets NULL. Keeps the left keys."""
+    renamed = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def bucket_count(df: DataFrame) -> int:
-    """A power of two near the session's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = 2
-    while size < min(width, MAX_BUCKETS):
-        size *= 2
-    return size
+    """The power of two that leaves about BUCKET_ROWS rows to a bucket, counted on the input."""
+    rows = df.count()
+    return max(2, 1 << (rows // BUCKET_ROWS).bit_length())
 
 
-def count_below(sorted_array: Column, value: Column, bits: int) -> Column:
-    """How many entries of an ascending array of 2**bits - 1 are < value (binary search)."""
-    jumps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
+def count_below(sorted_array: Column, value: Column, bits: int | None = None) -> Column:
+    """How many entries of an ascending array are < value, by binary search.
+
+    `bits`: for arrays of at most 2**bits - 1 entries; else it follows each array's size.
+    Places behind the end read as NULL, which is never < value."""
+    if bits is None:
+        width = F.length(F.bin(F.size(sorted_array)))
+        jumps = F.transform(F.sequence(width - 1, F.lit(0)), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    else:
+        jumps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
     return F.aggregate(
         jumps,
         F.lit(0),
@@ -46,13 +59,13 @@ def cut_points(df: DataFrame, keys: list[str], value: str, buckets: int, extra:
 def add_bucket(df: DataFrame, keys: list[str], value: str, extra: list[Column] | None = None) -> DataFrame:
     """Adds `bucket`: order-preserving, balanced, equal values together.
 
-    The cut table has one row per key with fewer than MAX_BUCKETS numbers; without
-    keys it is a scalar.
+    The cut table has one row per key with fewer numbers than there are buckets; without
+    keys it is a scalar. A NULL key is a key like any other.
     """
     buckets = bucket_count(df)
     bits = buckets.bit_length() - 1
     cuts = cut_points(df, keys, value, buckets, extra)
-    with_cuts = df.join(cuts, keys) if keys else df.withColumn("cuts", cuts.scalar())
+    with_cuts = join_on(df, cuts, keys) if keys else df.withColumn("cuts", cuts.scalar())
     return with_cuts.withColumn("bucket", count_below(F.col("cuts"), F.col(value).cast("double"), bits)).drop("cuts")
 
 
@@ -77,19 +90,47 @@ def running_total(
     )
     inside = W.partitionBy(*keys, group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(e).over(inside).alias(n) for n, e in sums.items()])
-    joined = local.join(carry, [*keys, group])
+    joined = join_on(local, carry, [*keys, group])
     return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(*[f"_c_{n}" for n in sums])
 
 
 def row_number(df: DataFrame, keys: list[str], value: str, ties: list[str], name: str = "row_no") -> DataFrame:
     """0-based position by (value, ties) per key; `value` must be numeric.
 
-    Rows are windowed inside balanced buckets; only bucket counts meet in one place.
+    Rows are windowed inside balanced buckets; only bucket counts meet in one place. A
+    value that more than BUCKET_ROWS rows share is a group of its own, cut again by the
+    first tie-break if that is a number. NULL keys are numbered like any other key.
     """
     placed = add_bucket(df, keys, value)
     order = [F.col(c) for c in (value, *ties)]
-    out = running_total(placed, keys, "bucket", order, {name: F.lit(1)})
-    return out.withColumn(name, (F.col(name) - 1).cast("bigint")).drop("bucket")
+    numeric = bool(ties) and dict(df.dtypes)[ties[0]].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+    group = "bucket"
+    if numeric:
+        placed, group = split_ties(placed, keys, value, ties[0]), "_part"
+    out = running_total(placed, keys, group, order, {name: F.lit(1)})
+    return out.withColumn(name, (F.col(name) - 1).cast("bigint")).drop("bucket", group)
+
+
+def split_ties(placed: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
+    """Adds `_part`, a struct in the order (bucket, value, tie): buckets without a common value are
+    one part; elsewhere each value is one, and a value of more than BUCKET_ROWS rows is 64.
+
+    The common values are at most rows / BUCKET_ROWS in number."""
+    number = F.col(tie).cast("double")
+    common = (
+        placed.groupBy(*keys, "bucket", value)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > BUCKET_ROWS)
+        .select(*keys, "bucket", F.col(value).alias("_common"))
+    )
+    shared = common.select(*keys, "bucket").distinct().withColumn("_shared", F.lit(True))
+    marked = join_on(placed, shared, [*keys, "bucket"], "left")
+    cuts = join_on(placed.withColumn("_common", F.col(value)), common, [*keys, "bucket", "_common"]).groupBy(*keys, "bucket", "_common")
+    cuts = cuts.agg(F.percentile_approx(number, F.lit([i / 64 for i in range(1, 64)]), F.lit(10000)).alias("_cuts"))
+    marked = join_on(marked.withColumn("_common", F.col(value)), cuts, [*keys, "bucket", "_common"], "left")
+    piece = F.when(F.col("_cuts").isNull(), 0).otherwise(count_below(F.col("_cuts"), number))
+    own = F.when(F.col("_shared"), F.col(value).cast("double"))
+    return marked.withColumn("_part", F.struct("bucket", own.alias("value"), piece.alias("piece"))).drop("_common", "_cuts", "_shared")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -112,9 +153,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     ranked = running_total(placed, keys, "bucket", [F.col(value)], {"upto": F.col("n")})
     # a value covers the ranks [upto - n, upto); each wanted rank falls on one value
     covered = F.filter("targets", lambda t: (t >= F.col("upto") - F.col("n")) & (t < F.col("upto")))
-    found = ranked.join(need, keys).select(*keys, F.explode(covered).alias("target"), F.col(value).alias("found"))
+    ranked = join_on(ranked, need, keys) if keys else ranked.withColumn("targets", need.scalar())
+    found = ranked.select(*keys, F.explode(covered).alias("target"), F.col(value).alias("found"))
     return (
-        targets.join(found, [*keys, "target"])
+        join_on(targets, found, [*keys, "target"])
         .groupBy(*keys, "prob")
         .agg(F.max("share").alias("share"), F.min("found").alias("low"), F.max("found").alias("high"))
         .select(*keys, "prob", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("quantile"))
@@ -148,7 +190,7 @@ def runs(df: DataFrame, keys: list[str], pos: str, hit: Column, name: str, chunk
         "_carry", F.max("_real").over(across.rowsBetween(W.unboundedPreceding, -1))
     ).select(*keys, "_chunk", "_carry", void.alias("_void"), "_head")
     running = F.max("_start").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    out = local.withColumn("_run", running).join(ends, [*keys, "_chunk"])
+    out = join_on(local.withColumn("_run", running), ends, [*keys, "_chunk"])
     began = F.when(F.col("_void") & (F.col("_run") == F.col("_head")), F.col("_carry")).otherwise(F.col("_run"))
     return out.withColumn(name, F.when(F.col("_hit"), began)).drop(
         "_hit", "_chunk", "_prev", "_start", "_run", "_carry", "_void", "_head"

@@ -41,12 +41,13 @@ def recommendation(feature: Column, reason: Column) -> Column:
 def top_deviation(stats: list[tuple[str, float, float]]) -> Column:
     """Struct (deviation, place) of the feature farthest from its baseline.
 
-    `stats` is the baseline table of a model: a few dozen (feature, mean, std).
+    `stats` is the baseline table of a model: a few dozen (feature, mean, std). A baseline of
+    one row has no std, which counts as none; a feature without a mean never deviates.
     Ties go to the feature that comes first in the contract.
     """
     entries = [
         F.struct(
-            (F.abs(F.col(name) - F.lit(mean)) / F.lit(std + EPS)).alias("deviation"),
+            (F.abs(F.col(name) - F.lit(mean).cast("double")) / F.lit((std or 0.0) + EPS)).alias("deviation"),
             F.lit(-i).alias("place"),
         )
         for i, (name, mean, std) in enumerate(stats)
@@ -73,7 +74,7 @@ def explain(df: DataFrame, stats: list[tuple[str, float, float]]) -> DataFrame:
             "feature": F.get(F.array(*[F.lit(n) for n in names]), place),
             "deviation": F.col("_top.deviation"),
             "_value": F.get(F.array(*[F.col(n) for n in names]), place),
-            "_mean": F.get(F.array(*[F.lit(m) for m in means]), place),
+            "_mean": F.get(F.array(*[F.lit(m).cast("double") for m in means]), place),
         }
     )
     text = F.format_string(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewatch.operators.clean import floor_div
+from tidewatch.operators.scan import join_on
 
 # fixed values: the four known failure windows of the machine temperature series
 MACHINE_TEMPERATURE_WINDOWS = [
@@ -104,11 +105,21 @@ def fit_scaler(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, column: str = "value") -> DataFrame:
-    return df.join(scaler, "sensor_id").withColumn(
-        f"{column}_scaled", (F.col(column) - F.col("mean")) / F.col("scale")
+    """Adds the scaled column. A sensor that the scaler does not know keeps its raw value there;
+    `unknown_to` counts such rows."""
+    scaled = (F.col(column) - F.col("mean")) / F.col("scale")
+    return join_on(df, scaler, ["sensor_id"], "left").withColumn(
+        f"{column}_scaled", F.when(F.col("scale").isNull(), F.col(column)).otherwise(scaled)
     ).drop("mean", "scale")
 
 
+def unknown_to(scaler: DataFrame, df: DataFrame) -> DataFrame:
+    """(sensor_id, n): the rows of sensors without a fitted scaler."""
+    known = scaler.where("scale IS NOT NULL").select(F.col("sensor_id").alias("_known"))
+    rest = df.join(known, F.col("sensor_id").eqNullSafe(F.col("_known")), "left_anti")
+    return rest.groupBy("sensor_id").agg(F.count("*").alias("n"))
+
+
 def scale_columns(df: DataFrame, features: list[str], fit_on: Column) -> DataFrame:
     """Standard-scale several columns by the moments of the rows in `fit_on` (one aggregate)."""
     moments = df.where(fit_on).agg(

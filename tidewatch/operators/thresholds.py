@@ -1,7 +1,8 @@
 """Threshold selection on a validation split.
 
 A sweep over m thresholds is one pass: each row falls between two thresholds,
-counts per gap (at most m + 1 rows per model) are summed from the far end.
+counts per gap (at most m + 1 rows per model) are summed from the far end. The
+search is as deep as the grid is wide, so a grid may have any number of points.
 Rows are never crossed with thresholds.
 """
 
@@ -66,11 +67,9 @@ def sweep(scores: DataFrame, keys: list[str], grid: DataFrame, below: bool = Fal
     A row is predicted anomalous when score > threshold (below=True: score < threshold).
     """
     oriented = grid.withColumn("search", F.reverse(F.transform("grid", lambda t: -t)) if below else F.col("grid"))
-    size = 128
-    padded = F.concat("search", F.array_repeat(F.lit(float("inf")), size - 1 - F.size("search")))
     value = -F.col("score") if below else F.col("score")
-    placed = scores.join(oriented.select(*keys, padded.alias("search")), keys).withColumn(
-        "gap", count_below(F.col("search"), value, size.bit_length() - 1)
+    placed = scores.join(oriented.select(*keys, "search"), keys).withColumn(
+        "gap", count_below(F.col("search"), value)
     )
     counts = placed.groupBy(*keys, "gap").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("positives"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, splits, thresholds, vibration
+from tidewatch.operators.detectors.base import mean_and_cov
 from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, tuning
 from tidewatch.plans import retraining
 from tidewatch.plans.base import fragment, r, rsql, scaled, stored_grid, with_ctes
@@ -69,6 +70,26 @@ def robust(spark, sf):
     return scored_test(model, spark, sf)
 
 
+FAR = 1e8
+
+
+@query(
+    "covariance_uncentred",
+    f"""WITH x AS (SELECT l_quantity + {FAR}::DOUBLE AS a, l_discount * 10 + {FAR}::DOUBLE AS b FROM lineitem)
+        SELECT i, j, round(v, 3) + 0.0::DOUBLE AS cov FROM (
+          SELECT 0 AS i, 0 AS j, var_pop(a) AS v FROM x UNION ALL SELECT 0, 1, covar_pop(a, b) FROM x
+          UNION ALL SELECT 1, 0, covar_pop(a, b) FROM x UNION ALL SELECT 1, 1, var_pop(b) FROM x)""",
+)
+def covariance_uncentred(spark, sf):
+    """Covariance of data far from zero; only the finished matrix comes from the driver."""
+    rows = table(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity") + F.lit(FAR), F.col("l_discount") * 10 + F.lit(FAR)).alias("x")
+    )
+    _, _, cov = mean_and_cov(rows)
+    cells = [(i, j, float(cov[i, j])) for i in range(2) for j in range(2)]
+    return spark.createDataFrame(cells, "i int, j int, cov double").select("i", "j", r("cov", 3).alias("cov"))
+
+
 @query(
     "mahalanobis",
     with_ctes(

@@ -159,6 +159,33 @@ def threshold_linear(spark, sf):
     return best_rounded(thresholds.best_linear(validation(spark, sf), ["model"]))
 
 
+WIDE = (200, 1000)
+
+
+@query(
+    "threshold_sweep_wide",
+    with_ctes(
+        ["scores"],
+        f"""SELECT model, n AS points, k, {rsql("t", "threshold")}, tp, predicted, {rsql("f1", "f1")} FROM (
+              SELECT *, CASE WHEN positives + predicted = 0 THEN 0 ELSE 2 * tp / (positives + predicted)::DOUBLE END AS f1 FROM (
+                SELECT g.model, g.n, g.k, g.t, count(*) FILTER (score > t AND label = 1) AS tp,
+                       count(*) FILTER (score > t) AS predicted, count(*) FILTER (label = 1) AS positives
+                FROM (SELECT model, n, k, CASE WHEN k = n - 1 THEN hi ELSE k * ((hi - lo) / (n - 1)::DOUBLE) + lo END AS t
+                      FROM (SELECT model, min(score) AS lo, max(score) AS hi FROM scores WHERE split = 'val' GROUP BY 1),
+                           (SELECT n, unnest(range(0, n)) AS k FROM (VALUES {", ".join(f"({n})" for n in WIDE)}) v(n))) g
+                JOIN scores s ON s.model = g.model AND s.split = 'val' GROUP BY 1, 2, 3, 4))""",
+    ),
+)
+def threshold_sweep_wide(spark, sf):
+    """Every point of grids that are wider than 127 thresholds."""
+    scores, keys = validation(spark, sf), ["model"]
+    parts = [
+        thresholds.sweep(scores, keys, thresholds.linear_grid(scores, keys, n)).withColumn("points", F.lit(n)) for n in WIDE
+    ]
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("model", "points", "k", r("threshold").alias("threshold"), "tp", "predicted", r("f1").alias("f1"))
+
+
 @query("threshold_k_grid", with_ctes(["fixed_best"], f"SELECT {BEST_COLUMNS} FROM fixed_best"))
 def threshold_fixed(spark, sf):
     return best_rounded(chosen(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import clean, features, splits
+from tidewatch.operators import clean, features, scan, splits
 from tidewatch.plans.base import (
     EVENT_WINDOWS,
     feature_table,
@@ -207,6 +207,56 @@ def scaled_rows(spark, sf):
     return scaled(spark, sf).select("sensor_id", "pos", r("value_scaled").alias("value_scaled"))
 
 
+UNFITTED = "purchase"
+
+
+@query(
+    "scale_unknown_sensor",
+    with_ctes(
+        ["labelled", "scaler"],
+        f"""SELECT l.sensor_id, l.pos, {rsql("CASE WHEN s.sensor_id IS NULL THEN l.value ELSE (l.value - s.mean) / s.scale END", "value_scaled")}
+            FROM labelled l LEFT JOIN (SELECT * FROM scaler WHERE sensor_id <> '{UNFITTED}') s USING (sensor_id)""",
+    ),
+)
+def scaled_without_one(spark, sf):
+    """One sensor has no fitted scaler: its rows stay, with their raw values."""
+    rows = labelled(spark, sf)
+    fitted = splits.fit_scaler(splits.burn_in(rows)).where(F.col("sensor_id") != UNFITTED)
+    return splits.apply_scaler(rows, fitted).select("sensor_id", "pos", r("value_scaled").alias("value_scaled"))
+
+
+@query(
+    "rows_of_unknown_sensors",
+    f"""SELECT event_type AS sensor_id, count(*) AS n FROM events WHERE event_type = '{UNFITTED}' GROUP BY 1""",
+)
+def unknown_rows(spark, sf):
+    rows = event_readings(spark, sf)
+    return splits.unknown_to(splits.fit_scaler(rows).where(F.col("sensor_id") != UNFITTED), rows)
+
+
+@query(
+    "row_number_null_key",
+    """SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY value, event_id) - 1 AS n
+       FROM (SELECT event_id, value, CASE WHEN event_type <> 'error' THEN event_type END AS key FROM events)""",
+)
+def numbered_null_key(spark, sf):
+    key = F.when(F.col("event_type") != "error", F.col("event_type")).alias("key")
+    rows = table(spark, sf, "events").select("event_id", "value", key)
+    return scan.row_number(rows, ["key"], "value", ["event_id"], "n").select("event_id", "key", "n")
+
+
+@query(
+    "row_number_common_value",
+    """SELECT event_id, row_number() OVER (ORDER BY v, event_id) - 1 AS n
+       FROM (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 7.0::DOUBLE ELSE value END AS v FROM events)""",
+)
+def numbered_common_value(spark, sf):
+    """Two of five rows share one value; the tie-break cuts their group."""
+    v = F.when(F.col("event_type").isin("view", "click"), F.lit(7.0)).otherwise(F.col("value")).alias("v")
+    rows = table(spark, sf, "events").select("event_id", v)
+    return scan.row_number(rows, [], "v", ["event_id"], "n").select("event_id", "n")
+
+
 @query(
     "leakage_report",
     with_ctes(

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.operators import scoring, splits
 from tidewatch.operators.detectors.base import Model
 from tidewatch.streaming.buffer import online_features
-from tidewatch.streaming.faults import inject_stream
 
 
 def score_stream(
@@ -22,15 +21,12 @@ def score_stream(
     model_name: str,
     stats: list[tuple[str, float, float]],
     warm: DataFrame | None = None,
-    schedule: list[tuple] | None = None,
 ) -> DataFrame:
-    """Readings -> faults -> scale -> buffer -> features -> score -> severity and reason.
+    """Readings -> scale -> buffer -> features -> score -> severity and reason.
 
-    Without a model every row gets the fallback decision. Late rows are passed on
-    unscored with late = true.
+    Without a model every row gets the fallback decision. A sensor without a fitted
+    scaler is scored on its raw value. Late rows are passed on unscored with late = true.
     """
-    if schedule:
-        readings = inject_stream(readings, schedule).select("sensor_id", "ts", "seq", F.col("injected").alias("value"))
     rows = online_features(splits.apply_scaler(readings, scaler), warm)
     scored = model.transform(rows.na.fill(0.0, [s[0] for s in stats])) if model else rows.withColumn("score", F.lit(None).cast("double"))
     usable = F.col("value_scaled").isNotNull() & ~F.col("late")
