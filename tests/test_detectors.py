@@ -225,3 +225,32 @@ def test_covariance_far_from_zero(spark):
     df = spark.createDataFrame([(r.tolist(),) for r in rows], "x array<double>").repartition(5)
     n, mean, cov = base.mean_and_cov(df)
     assert n == 2000 and np.allclose(mean, rows.mean(axis=0)) and np.allclose(cov, np.cov(rows.T, bias=True), atol=1e-4)
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    import numpy as np
+
+    from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, store
+
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.random(2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double")
+    names = ["a", "b"]
+    models = {
+        "forest": isolation.fit(df, names, ["id"], trees=10, contamination=0.1),
+        "trees": halfspace.fit(df, names, ["id"], trees=5),
+        "envelope": envelope.fit(df, names, ["id"]),
+        "svm": oneclass.fit(df, names),
+        "lof": neighbours.fit(df, names, k=5),
+    }
+    for name, model in models.items():
+        path = store.save(model, spark, str(tmp_path / name))
+        back = store.load(spark, path)
+        want = {r["id"]: r["score"] for r in model.transform(df).collect()}
+        assert {r["id"]: r["score"] for r in back.transform(df).collect()} == want, name
+    wide = df.selectExpr("array(a, b, a + b, a - b) AS sequence")
+    kept = sequence.SequenceModel(np.zeros(4), np.eye(4)[:2], 2)
+    back = store.load(spark, store.save(kept, spark, str(tmp_path / "sequence")))
+    assert np.array_equal(back.basis, kept.basis) and back.width == 2 and wide.count() == 400
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, str(tmp_path / "none"))

@@ -120,10 +120,8 @@ def fit(
     try:
         n, mean, cov = mean_and_cov(rows)
         d = len(mean)
-        starts = [(mean, cov)]
-        if n > 4 * subset:
-            part = rows.where(key_hash(keys, seed) < subset / n)
-            starts.append(mean_and_cov(part)[1:])
+        part = rows.where(key_hash(keys, seed) < min(1.0, subset / n))
+        starts = [(mean, cov), mean_and_cov(part)[1:]]
         for support in SUPPORT_FRACTIONS:
             share = (n + d + 1) / (2.0 * n) if support is None else support
             found = [f for f in (concentrate(rows, m, c, share, steps) for m, c in starts) if f is not None]

@@ -114,18 +114,19 @@ def fit(
     seed: int = 42,
 ) -> HalfSpaceModel:
     """Learning in order leaves the masses of the last complete window: at most
-    2 * window - 1 newest rows are fetched, whatever the size of the table."""
+    2 * window - 1 newest rows are fetched, whatever the size of the table. Before the
+    first complete window there are no masses, and every score is 1."""
     total = df.count()
-    rest = total % window if total >= window else 0
+    rest = total % window
     newest = (
         df.select(*order, as_vector(features).alias("x"))
         .orderBy(*[F.col(c).desc() for c in order])
         .limit(rest + window)
         .toPandas()
     )
-    x = matrix(newest["x"].iloc[rest:])
+    x = matrix(newest["x"])
     drawn = draw(x.shape[1], trees, height, seed)
-    return HalfSpaceModel(features, drawn, masses(drawn, x), window)
+    return HalfSpaceModel(features, drawn, masses(drawn, x[rest:]), window)
 
 
 def prequential(

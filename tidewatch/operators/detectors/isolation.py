@@ -111,14 +111,15 @@ def fit(
 ) -> ForestModel:
     """Sampling is by a hash of the row key: repeatable, and a retried task picks the same rows.
 
-    One hash per row cuts the table to a pool of about 2 * trees * sample rows;
-    only pool rows draw their trees. Every tree group holds about 2 * sample rows.
+    One hash per row cuts the table to a pool of about 2 * trees * sample rows (all rows,
+    if there are fewer); only pool rows draw their trees. `sample` bounds what a tree
+    sees, every tree group holds about 2 * sample rows.
     """
     rows = df.select(*keys, as_vector(features).alias("x"))
     total = df.count()
     size = min(sample, total)
     pool_size = 2 * trees * sample
-    pool = rows if total <= pool_size else rows.where(key_hash(keys, seed) < pool_size / total)
+    pool = rows.where(key_hash(keys, seed) < min(1.0, pool_size / max(1, total)))
     share = min(1.0, 2.0 * size / min(total, pool_size))
     drawn = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: key_hash(keys, seed + 1, t) < F.lit(share)

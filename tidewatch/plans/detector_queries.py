@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, splits, thresholds, vibration
 from tidewatch.operators.detectors.base import mean_and_cov
-from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, tuning
+from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, store, tuning
 from tidewatch.plans import retraining
 from tidewatch.plans.base import fragment, r, rsql, scaled, stored_grid, with_ctes
 from tidewatch.plans.evaluation_queries import feature_store, model_scores
 from tidewatch.plans.operations_queries import readings_table, registry_table
 from tidewatch.plans.store import stored
+from tidewatch.session import scratch_path
 from tidewatch.sources.files import classify_images
 from tidewatch.sources.series import table
 
@@ -196,10 +197,40 @@ def offsets(spark, sf):
 
 @query("retrain_and_promote")
 def retrained(spark, sf):
-    ranked, _ = retraining.retrain(readings_table(spark, sf), registry_table(spark, sf), trees=100)
+    ranked, _, _ = retraining.retrain(readings_table(spark, sf), registry_table(spark, sf), trees=100)
     return ranked
 
 
+@query("retrain_registry")
+def retrained_registry(spark, sf):
+    """The registry after retraining: one production model, whose artifact can be loaded."""
+    root = scratch_path(spark, "models")
+    _, registry, artifacts = retraining.retrain(readings_table(spark, sf), registry_table(spark, sf), trees=100, root=root)
+    for path in artifacts.values():
+        store.load(spark, path)
+    return registry.select("name", "artifact_path", "threshold", "is_production")
+
+
+@query(
+    "model_round_trip",
+    with_ctes(
+        ["zscores"],
+        """, c AS (SELECT avg(roll_mean_15) AS ma, avg(roll_std_15) AS mb, var_pop(roll_mean_15) AS a, var_pop(roll_std_15) AS b,
+                        covar_pop(roll_mean_15, roll_std_15) AS ab
+                 FROM zscores WHERE split = 'train' AND label = 0 AND roll_mean_60 IS NOT NULL)
+        SELECT sensor_id, pos, round((b * power(roll_mean_15 - ma, 2) - 2 * ab * (roll_mean_15 - ma) * (roll_std_15 - mb)
+                                      + a * power(roll_std_15 - mb, 2)) / (a * b - ab * ab), 6) + 0.0::DOUBLE AS score
+        FROM zscores CROSS JOIN c WHERE split = 'val' AND roll_mean_60 IS NOT NULL""",
+    ),
+)
+def round_trip(spark, sf):
+    """A model that was written, read back and then applied."""
+    rows = complete(spark, sf)
+    fitted = envelope.plain(splits.normal_rows(rows), ["roll_mean_15", "roll_std_15"])
+    model = store.load(spark, store.save(fitted, spark, scratch_path(spark, "models")))
+    return model.transform(rows.where("split = 'val'")).select(*ROW, r("score").alias("score"))
+
+
 # ---- vibration: embeddings read as 64-sample signals ---------------------------------
 
 

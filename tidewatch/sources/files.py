@@ -76,10 +76,15 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def version_path(root: str) -> str:
+    """A path for a new version below `root`; later ones sort behind earlier ones."""
+    stamp = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    return f"{root.rstrip('/')}/v={stamp}-{uuid.uuid4().hex[:8]}"
+
+
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None, form: str = "parquet") -> str:
     """A new immutable version directory; readers of the old one are not disturbed."""
-    stamp = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    path = f"{root.rstrip('/')}/v={stamp}-{uuid.uuid4().hex[:8]}"
+    path = version_path(root)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).format(form).save(path)
     return path
