@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.common import ascii_lower, broadcast_if_small
+from tidewatch.llm.common import ascii_lower, broadcast_if_small, checkpointed
 
 N = 10
 BLOCK = 4096
@@ -147,6 +147,7 @@ def contamination(
     null ids are kept; an empty benchmark leaves every document clean; an empty table gives
     no rows. Only the named columns are read."""
     per_row, members = scan(docs, benchmark, n, id_col, text_col)
+    per_row = checkpointed(per_row)  # read twice below; row numbers must be the same in both
     base = per_row.select("row", "doc_id", "n_words", n_hit().alias("n_hit"), F.expr("transform(hits, h -> h.ngram)").alias("grams"))
     members = broadcast_if_small(members, F.octet_length("ngram") + F.octet_length("item_id") + 64)
     pairs = base.select("row", F.explode(F.array_distinct("grams")).alias("ngram")).join(members, "ngram")
