@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_features import by_pandas, walk
 from tidewatch.operators import features
 from tidewatch.plans.streaming_queries import STREAM_SCHEMA
+from tidewatch.schemas import ALERTS
 from tidewatch.streaming import buffer, drift, scoring, sources
 
 ORIGIN = datetime.datetime(2024, 1, 1)
@@ -90,7 +91,11 @@ def test_a_sensor_without_scaler_is_scored_on_its_raw_value(spark, tmp_path):
     scoring.run_available(scored, str(tmp_path / "cp"), scoring.table_sink(str(tmp_path / "t")))
     kept = scoring.read_sink(spark, str(tmp_path / "t"), "readings").collect()
     assert len(kept) == 29
-    assert sorted((r["sensor_id"], r["id"]) for r in kept if r["is_anomaly"]) == [("new", 5), ("new", 6), ("s", 10), ("s", 11)]
+    assert sorted((r["sensor_id"], r["seq"]) for r in kept if r["is_anomaly"]) == [("new", 5), ("new", 6), ("s", 10), ("s", 11)]
+    assert len({r["id"] for r in kept}) == 29
+    raised = scoring.read_sink(spark, str(tmp_path / "t"), "alerts")
+    assert raised.drop("batch_id").columns == [f.name for f in ALERTS.fields] and raised.count() == 4
+    assert {r["reading_id"] for r in raised.collect()} == {r["id"] for r in kept if r["is_anomaly"]}
 
 
 def test_watermark_drops_and_counts(spark, tmp_path):

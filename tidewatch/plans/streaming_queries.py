@@ -147,8 +147,43 @@ def stream_scored(spark, sf):
         scoring.table_sink(root),
     )
     stored = scoring.read_sink(spark, root, "readings").select("sensor_id", "id", "anomaly_score", "late")
-    alerts = scoring.read_sink(spark, root, "alerts").withColumnRenamed("reading_id", "id")
-    return alerts.join(stored, ["sensor_id", "id"]).select("sensor_id", "id", "ts", "severity", "score", "anomaly_score", "reason", "status")
+    alerts = scoring.read_sink(spark, root, "alerts").drop("id").withColumnRenamed("reading_id", "id")
+    stored = stored.drop("sensor_id")
+    return alerts.join(stored, "id").select("sensor_id", "id", "ts", "severity", "score", "anomaly_score", "reason", "status")
+
+
+class RollingRule:
+    """The z rule as a model."""
+
+    def transform(self, df: DataFrame, name: str = "score") -> DataFrame:
+        return df.withColumn(name, F.round(F.abs("zscore_15"), 6))
+
+
+@query(
+    "stream_alert_rows",
+    with_ctes(
+        ["online_features"],
+        """SELECT sensor_id, ts, CASE WHEN z - 2.5 < 1 THEN 'low' WHEN z - 2.5 < 3 THEN 'medium' ELSE 'high' END AS severity,
+                  z + 0.0::DOUBLE AS score, false AS acknowledged, 'new' AS status, 1 AS alerts_of_reading
+           FROM (SELECT sensor_id, ts, round(abs(zscore_15), 6) AS z FROM online_features) WHERE z > 2.5""",
+    ),
+)
+def stream_alert_rows(spark, sf):
+    """Alerts of the z rule as the sink stores them, over two deliveries and a restart."""
+    rows = labelled(spark, sf)
+    scaler = splits.fit_scaler(splits.burn_in(rows))
+    readings = rows.select("sensor_id", "ts", F.col("pos").alias("seq"), "value")
+    root = scratch_path(spark, "stream-alerts")
+    run_deliveries(
+        spark,
+        readings,
+        lambda s: scoring.score_stream(s, scaler, RollingRule(), 2.5, "rolling_zscore", []),
+        scoring.table_sink(root),
+    )
+    alerts = scoring.read_sink(spark, root, "alerts")
+    per_reading = alerts.groupBy("reading_id").agg(F.count("*").cast("int").alias("alerts_of_reading"))
+    columns = ["sensor_id", "ts", "severity", "score", "acknowledged", "status", "alerts_of_reading"]
+    return alerts.join(per_reading, "reading_id").select(*columns)
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,6 +210,18 @@ def drained_kpis(spark: SparkSession, sf: str, width: str, slide: str | None = N
     return spark.read.parquet(out).withColumn("mean_value", r("mean_value"))
 
 
+@query(
+    "stream_kpis_append",
+    f"""SELECT * FROM ({kpi_sql("1 HOUR")}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+)
+def kpis_append(spark, sf):
+    """Append mode: a window is written once, when the watermark has passed it, and then leaves the state."""
+    out = scratch_path(spark, "kpis")
+    stats = scoring.running_kpis(event_stream(spark, sf), "1 hour", hit=F.col("value") > 150)
+    scoring.run_available(stats, scratch_path(spark, "kpi-stream"), out)
+    return spark.read.schema(stats.schema).parquet(out).withColumn("mean_value", r("mean_value"))
+
+
 @query("stream_kpis_minute", kpi_sql("1 MINUTE"))
 def kpis_minute(spark, sf):
     return drained_kpis(spark, sf, "1 minute")

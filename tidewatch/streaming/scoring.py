@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators import scoring, splits
 from tidewatch.operators.detectors.base import Model
+from tidewatch.schemas import ALERTS
 from tidewatch.streaming.buffer import online_features
 
 
@@ -35,26 +36,40 @@ def score_stream(
     return scoring.decide(explained, F.lit(threshold), F.lit(model_name), F.col("_why")).drop("_why")
 
 
+def reading_id() -> Column:
+    """One number for a reading of any sensor, the same whenever the reading is replayed."""
+    return F.xxhash64("sensor_id", F.unix_micros("ts"), "seq").bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def prediction_columns(df: DataFrame) -> DataFrame:
     return df.select(
-        F.col("seq").alias("id"), "ts", "sensor_id", "value", "anomaly_score", "is_anomaly", "severity", "reason", "model", "late"
+        reading_id().alias("id"), "seq", "ts", "sensor_id", "value", "anomaly_score", "is_anomaly", "severity", "reason", "model", "late"
     )
 
 
 def table_sink(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: readings and alerts, one directory per batch.
 
-    A replayed batch overwrites its own directory, so each reading is stored once.
+    A replayed batch overwrites its own directory, so each reading is stored once. A reading
+    raises one alert at most, which takes the reading's id; alerts have the columns of the
+    alerts table, so listing, acknowledging and status updates run on them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prediction_columns(batch).persist()
         try:
             rows.write.mode("overwrite").parquet(f"{root}/readings/batch_id={batch_id}")
+            alert = {
+                "reading_id": F.col("id"), "score": F.col("anomaly_score"),
+                "acknowledged": F.lit(False), "status": F.lit("new"),
+            }
+            known = {"id", "ts", "sensor_id", "severity", "reason"}
             hits = rows.where("is_anomaly").select(
-                F.col("id").alias("reading_id"), "ts", "sensor_id", "severity", F.col("anomaly_score").alias("score"),
-                "reason", F.lit(False).alias("acknowledged"), F.lit("new").alias("status"),
-            )
+                *[
+                    alert.get(f.name, F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
+                    for f in ALERTS.fields
+                ]
+            )
             hits.write.mode("overwrite").parquet(f"{root}/alerts/batch_id={batch_id}")
         finally:
             rows.unpersist()
