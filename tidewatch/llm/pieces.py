@@ -15,6 +15,7 @@ Texts come back exactly, also a literal space mark (U+2581), which is written as
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -29,7 +30,17 @@ from sentencepiece import sentencepiece_model_pb2 as spm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO, SHORT = 300_000, 48
+MEMO, NEAR, FITS, SHORT = 200_000, 800_000, 50_000, 48
+ROWS = 512
+TRIP = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("ids", pa.list_(pa.int32())),
+        ("n_ids", pa.int32()),
+        ("decoded_sha256", pa.string()),
+        ("round_trip", pa.bool_()),
+    ]
+)
 NORMAL, BYTE, BPE, UNIGRAM = 1, 6, 2, 1
 
 
@@ -63,10 +74,14 @@ class Pieces:
             for char in piece:
                 node = node.setdefault(char, {})
             node[""] = piece
+        self.number = {piece: k for k, piece in enumerate(self.ids, 2)}  # 0: begin, 1: a character without a piece
+        self.named = ["", "", *self.ids]
+        self._near: dict[int, bool] = {}
         self.stretches = re.compile(self._stretch_pattern()).findall
         self._fit: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str]] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def _stretch_pattern(self) -> str:
         """Stretches no piece crosses the end of: they end before a space mark, around a character
@@ -123,8 +138,6 @@ class Pieces:
         fit = self._fit.get((left, right))
         if fit is not None:
             return fit
-        if len(self._fit) > MEMO:
-            self._fit.clear()
         key = (left, right)
         if not left or MARK + MARK in left + right:
             fit = self.merged(left + right) == ([left, right] if left else [right])
@@ -148,7 +161,8 @@ class Pieces:
                     made_right = scores[right] if len(right) > 1 else math.inf
                 else:
                     break
-        self._fit[key] = fit
+        if len(self._fit) < FITS:
+            self._fit[key] = fit
         return fit
 
     def search(self, text: str) -> Iterator[list[str]]:
@@ -200,18 +214,55 @@ class Pieces:
             found.append(piece)
         return found[::-1]
 
+    def _short(self, text: str) -> list[str]:
+        """The same search for a BPE stretch that is no longer than the window: numbers for pieces,
+        and one commit at the end."""
+        tree, near, number, size = self.tree, self._near, self.number, len(text)
+        last: list[int | None] = [0, *[None] * size]
+        start = [0] * (size + 1)
+        for i in range(size):
+            left = last[i]
+            if left is None:
+                continue
+            node, j = tree, i
+            while j < size and (node := node.get(text[j])) is not None:
+                j += 1
+                if last[j] is None and (piece := node.get("")) is not None:
+                    pair = left << 20 | number[piece]
+                    fits = near.get(pair)
+                    if fits is None:
+                        if len(near) > NEAR:
+                            near.clear()
+                        fits = near[pair] = self.apart(self.named[left], piece)
+                    if fits:
+                        last[j], start[j] = number[piece], i
+            if last[i + 1] is None and text[i] not in self.scores:
+                last[i + 1], start[i + 1] = 1, i
+        if last[size] is None:  # equal scores of several pieces: the procedure itself decides
+            return self.merged(text)
+        found, until = [], size
+        while until:
+            found.append(text[start[until] : until])
+            until = start[until]
+        return found[::-1]
+
     def _stretch(self, text: str) -> tuple[int, ...]:
         known = self._memo.get(text)
         if known is not None:
             return known
+        known = self._older.get(text)
+        if known is not None:
+            self._memo[text] = known
+            return known
+        short = len(text) <= SHORT
         out: list[int] = []
-        for pieces in self.search(text):
+        for pieces in (self._short(text),) if short and self.bpe else self.search(text):
             for piece in pieces:
                 number = self.ids.get(piece)
                 out.extend([number] if number is not None else [self.bytes[b] for b in piece.encode()])
-        if len(text) <= SHORT:
-            if len(self._memo) > MEMO:
-                self._memo.clear()
+        if short:
+            if len(self._memo) > MEMO:  # two generations: what is met again stays
+                self._older, self._memo = self._memo, {}
             self._memo[text] = tuple(out)
         return tuple(out)
 
@@ -257,13 +308,45 @@ def encoded(docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(proto)
         for batch in batches:
-            ids = [None if not t.is_valid else np.array(pieces.encode(t.as_py()), np.int32) for t in batch.column(at)]
-            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, out_col])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                texts = part.column(at)
+                ids = [None if not t.is_valid else np.array(pieces.encode(t.as_py()), np.int32) for t in texts]
+                columns = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, out_col])
 
     return rest.mapInArrow(encode, _with(rest, out_col, ArrayType(IntegerType())))
 
 
+def round_trips(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, ids, n_ids, decoded_sha256, round_trip, encoded and decoded in one pass.
+
+    Null texts have null ids and digest and come back as null."""
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(proto)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = []
+                for value in part.column(1):
+                    text = value.as_py()
+                    if text is None:
+                        rows.append((None, 0, None, True))
+                        continue
+                    ids = pieces.encode(text)
+                    back = pieces.decode(ids)
+                    digest = hashlib.sha256(back.encode()).hexdigest()
+                    rows.append((np.array(ids, np.int32), len(ids), digest, back == text))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), TRIP.types[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=TRIP)
+
+    rows = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    return rows.mapInArrow(
+        there_and_back, "doc_id bigint, ids array<int>, n_ids int, decoded_sha256 string, round_trip boolean"
+    )
+
+
 def decoded(rows: DataFrame, proto: bytes, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """All rows and columns with the text of the ids (null for null); replaces a column of that name."""
     rest = rows.drop(out_col) if out_col in rows.columns else rows

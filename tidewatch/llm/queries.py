@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import chat, decontamination, exact_dedup, html, language, pieces, secrets, sharding, simhash, toxicity
 from tidewatch.llm.common import checkpointed, table
@@ -38,16 +38,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they give it back."""
-    model = pieces.read_model()
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = pieces.decoded(pieces.encoded(rows, model), model, out_col="decoded")
-    return rows.select(
-        "doc_id",
-        "ids",
-        F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+    return pieces.round_trips(table(spark, sf_dir, "documents"), pieces.read_model())
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
