@@ -121,10 +121,12 @@ def test_held_out_toxic_documents_are_found(spark):
 
 def test_words_back_off_to_shorter_grams():
     model = language.Model(["x", "y"], {"known": [1.0, 0.0]}, {"<ab": [0.0, 2.0], "c": [0.5, 0.0], ">": [0.0, 0.1]})
-    assert model.word("known").tolist() == [1.0, 0.0]
-    assert model.word("abc").tolist() == [0.5, 2.1]
-    assert model.word("zz").tolist() == [0.0, 0.1]
-    assert model.predict("abc 12!")[0] == "y" and model.predict("12!") == ("und", 0.0)
+    assert model.word("known") == [1.0, 0.0]
+    assert model.word("abc") == [0.5, 2.1]
+    assert model.word("zz") == [0.0, 0.1]
+    reader = language.Reader(model)
+    assert reader.predict("abc 12!")[0] == "y" and reader.predict("12!") == ("und", 0.0)
+    assert reader.predict("known Known abc " * 2000)[0] == "x"
 
 
 def test_language_of_held_out_documents(spark):

@@ -2,8 +2,7 @@
 
 Known words are scored by their log frequency in each language. An unseen word is taken
 apart: the longest n-gram (5 down to 1 characters, with word marks) that the model knows
-is scored at each place and the next place begins behind it; each level down costs a
-fixed penalty that is equal for all languages. Counts cover every training text; the
+is scored at each place and the next place begins behind it. Counts cover every training text; the
 model keeps at most `WORDS` frequent words and `GRAMS` n-grams of each language, which
 bounds what is sent to the executors.
 """
@@ -14,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ FOLDS, HELD_OUT = 4, 2
 WORDS, GRAMS, LONGEST = 20_000, 20_000, 5
 WORD = re.compile(r"[^\W\d_]+")
 LONG_WORD = 64
-MEMO = 200_000
+MEMO = 400_000
 UNKNOWN = "und"
 
 
@@ -47,74 +46,95 @@ ENTRIES = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int6
 HELD = 300_000
 
 
-def _flushed(counts: Counter) -> pa.RecordBatch:
-    columns = list(zip(*((lang, entry, n) for (lang, entry), n in counts.items()))) or [(), (), ()]
+def _flushed(counts: dict[str, Counter]) -> pa.RecordBatch:
+    rows = ((lang, entry, n) for lang, found in counts.items() for entry, n in found.items())
+    columns = list(zip(*rows)) or [(), (), ()]
     counts.clear()
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ENTRIES.types)], schema=ENTRIES)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to partial (lang, word, n); at most about HELD entries are held."""
-    counts: Counter = Counter()
+    """(lang, text) to partial (lang, word, n); at most about HELD entries and one text's are held."""
+    counts: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for word, n in Counter(words(text.as_py())).items():
-                counts[lang, word] += n
-            if len(counts) > HELD:
+            counts.setdefault(lang, Counter()).update(words(text.as_py()))
+            if sum(map(len, counts.values())) > HELD:
                 yield _flushed(counts)
     yield _flushed(counts)
 
 
 def _taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) to partial counts of n-grams; at most about HELD entries are held."""
-    counts: Counter = Counter()
+    counts: dict[str, Counter] = {}
     for batch in batches:
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for size in range(1, LONGEST + 1):
-                for gram in grams(word, size):
-                    counts[lang, gram] += n
-            if len(counts) > HELD:
+            own = counts.setdefault(lang, Counter())
+            found = [gram for size in range(1, LONGEST + 1) for gram in grams(word, size)]
+            if n == 1:
+                own.update(found)
+            else:
+                for gram in found:
+                    own[gram] += n
+            if len(own) > HELD:
                 yield _flushed(counts)
     yield _flushed(counts)
 
 
 @dataclass
 class Model:
-    """Log frequencies by language of words and n-grams; `floors` stand for what a language lacks."""
+    """Log frequencies by language of words and n-grams, relative to the mean of all languages."""
 
     langs: list[str]
     words: dict[str, list[float]]
     grams: dict[str, list[float]]
-    memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[float]:
         """The word's evidence for each language."""
-        if word in self.words:
-            return np.array(self.words[word])
-        marked, at, total = f"<{word}>", 0, np.zeros(len(self.langs))
-        while at < len(marked):
-            for n in range(min(LONGEST, len(marked) - at), 0, -1):
-                known = self.grams.get(marked[at : at + n])
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        marked, at, found = f"<{word}>", 0, []
+        size = len(marked)
+        while at < size:
+            for until in range(min(at + LONGEST, size), at, -1):
+                known = self.grams.get(marked[at:until])
                 if known is not None:
-                    total += known
+                    found.append(known)
                     break
-            at += n
-        return total
+            at = until
+        return [sum(column) for column in zip(*found)] if found else [0.0] * len(self.langs)
+
+
+class Reader:
+    """A model at work in one task: words met before are rows of a table, and a text is a sum of rows."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.table = np.zeros((1024, max(1, len(model.langs))))
+        reader = self
+
+        class Places(dict):
+            def __missing__(self, word: str) -> int:
+                place = len(self)
+                if place == len(reader.table):
+                    reader.table = np.vstack([reader.table, np.zeros_like(reader.table)])
+                reader.table[place] = model.word(word)
+                self[word] = place
+                return place
+
+        self.places = Places()
 
     def predict(self, text: str) -> tuple[str, float]:
         found = words(text)
-        if not found or not self.langs:
+        if not found or not self.model.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in Counter(found).items():
-            got = self.memo.get(word)
-            if got is None:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                got = self.memo[word] = self.word(word)
-            total += got * n
+        if len(self.places) > MEMO:
+            self.places.clear()
+        rows = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
+        total = self.table[rows].sum(axis=0)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        return self.model.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
 def fold(doc_id: Column) -> Column:
@@ -183,8 +203,9 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     Ids may be null (never held out) or repeat; an empty table gives no rows."""
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
         for batch in batches:
-            found = [model.predict(t.as_py() or "") for t in batch.column(1)]
+            found = [reader.predict(t.as_py() or "") for t in batch.column(1)]
             langs, scores = zip(*found) if found else ((), ())
             columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
