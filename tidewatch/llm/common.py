@@ -46,7 +46,3 @@ def broadcast_if_small(df: DataFrame, size: Column, limit: int = 64 << 20) -> Da
     measured = df.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(df) if measured <= limit else df
 
-
-def columns_of(docs: DataFrame, *names: str) -> list[Column]:
-    """The named columns, exactly as spelled, whatever other columns the frame has."""
-    return [docs[f"`{name}`"] for name in names]
