@@ -112,10 +112,10 @@ def row_number(df: DataFrame, keys: list[str], value: str, ties: list[str], name
 
 
 def split_ties(placed: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """Adds `_part`, a struct in the order (bucket, value, tie): buckets without a common value are
-    one part; elsewhere each value is one, and a value of more than BUCKET_ROWS rows is 64.
+    """Adds `_part`, a struct in the order (bucket, value, tie). A value of more than BUCKET_ROWS rows
+    is 64 parts of its bucket, the other values between two such ones are one part.
 
-    The common values are at most rows / BUCKET_ROWS in number."""
+    The common values are at most rows / BUCKET_ROWS in number, and so are the parts, but for a factor."""
     number = F.col(tie).cast("double")
     common = (
         placed.groupBy(*keys, "bucket", value)
@@ -123,14 +123,16 @@ def split_ties(placed: DataFrame, keys: list[str], value: str, tie: str) -> Data
         .where(F.col("_n") > BUCKET_ROWS)
         .select(*keys, "bucket", F.col(value).alias("_common"))
     )
-    shared = common.select(*keys, "bucket").distinct().withColumn("_shared", F.lit(True))
-    marked = join_on(placed, shared, [*keys, "bucket"], "left")
+    listed = common.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list("_common")).alias("_listed"))
+    marked = join_on(placed, listed, [*keys, "bucket"], "left")
     cuts = join_on(placed.withColumn("_common", F.col(value)), common, [*keys, "bucket", "_common"]).groupBy(*keys, "bucket", "_common")
     cuts = cuts.agg(F.percentile_approx(number, F.lit([i / 64 for i in range(1, 64)]), F.lit(10000)).alias("_cuts"))
     marked = join_on(marked.withColumn("_common", F.col(value)), cuts, [*keys, "bucket", "_common"], "left")
     piece = F.when(F.col("_cuts").isNull(), 0).otherwise(count_below(F.col("_cuts"), number))
-    own = F.when(F.col("_shared"), F.col(value).cast("double"))
-    return marked.withColumn("_part", F.struct("bucket", own.alias("value"), piece.alias("piece"))).drop("_common", "_cuts", "_shared")
+    among = 2 * count_below(F.col("_listed"), F.col(value)) + F.array_contains("_listed", F.col(value)).cast("int")
+    among = F.when(F.col("_listed").isNull(), 0).otherwise(F.coalesce(among, F.lit(0)))
+    part = F.struct("bucket", among.alias("among"), piece.alias("piece"))
+    return marked.withColumn("_part", part).drop("_common", "_cuts", "_listed")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
