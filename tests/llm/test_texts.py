@@ -238,6 +238,30 @@ def test_articles_and_unique_runs_stay(spark):
     assert html.extract(pages, 60).count() == 7
 
 
+def test_runs_are_compared_over_the_whole_host_however_large(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    notice = "This section moves to another place in the coming spring"
+    rows = []
+    for i in range(60):
+        own = " ".join(word() for _ in range(30))
+        extra = f"<div>{notice}</div>" if i in (7, 41) else ""
+        inside = f"<article>{extra}<p>{own}</p>loose {own}</article>" if i % 3 == 2 else f"{extra}<div>{own}</div>"
+        rows.append((i, f"http://h/{i}", f"<body><nav>{word()}</nav>{inside}</body>"))
+    rows += [(90, "http://a/1", f"<div>{notice}</div>"), (91, "http://b/1", "<div>" + "again and again " * 9 + "</div>"), (92, "http://h/1", rows[1][2])]
+    streams = {}
+    for i, url, page in rows:
+        streams.setdefault(url.split("/")[2], []).append((i, html.blocks(page)))
+    want = {}
+    for found in streams.values():
+        marked = html.repeated([" ".join(t for t, _ in f).split(" ") for _, f in found])
+        want |= {i: html.main_text([t for t, _ in f], [p for _, p in f], m) for (i, f), m in zip(found, marked)}
+    assert notice not in want[7] and notice not in want[41] and notice in want[90]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (html.PART_BYTES, 500, 60):
+        assert {r["page_id"]: r["text"] for r in html.extract(pages, size).collect()} == want
+
+
 def test_given_pages_give_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
