@@ -60,6 +60,13 @@ def test_documents_or_spans_go(spark, docs):
     assert {r["text"] for r in cut.collect()} == {"Keep me, and me.", "clean", "clean too", None}
 
 
+def test_a_contaminated_row_takes_no_other_row_with_its_id(spark, docs):
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    table = docs([(1, LONG), (1, "clean"), (1, "clean"), (None, LONG), (None, "clean too"), (None, None), (2, LONG)])
+    left = d.drop_contaminated(table, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (0, "clean too"), (1, "clean"), (1, "clean")]
+
+
 def test_empty_tables_and_repeated_rows(spark, docs):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     table = docs([(1, LONG), (1, LONG), (None, LONG)])

@@ -134,6 +134,18 @@ def test_near_duplicates_without_ids_and_with_repeats(spark, docs):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (4, 4), (4, 4)]
 
 
+def test_one_row_of_each_component_stays_whatever_its_ids(spark, docs):
+    one, two, three, four = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [
+        (None, one), (None, one), (None, one.upper()), (None, two), (5, two), (7, three), (7, three), (7, four),
+        (None, four), (7, four), (None, None), (None, ""), (9, "solo"), (9, "other"), (9, "solo"),
+    ]
+    kept = simhash.drop_near_duplicates(docs(rows))
+    assert kept.columns == docs(rows).columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([(0, one), (5, two), (7, three), (7, four), (0, ""), (9, "solo"), (9, "other")])
+
+
 def test_components_of_a_chain_a_star_and_a_ring(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, 1000 + i) for i in range(50)]

@@ -167,9 +167,15 @@ def contamination(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of `docs` without any benchmark window; rows that share an id share its decision."""
-    bad = scan(docs, benchmark, n, id_col, text_col)[0].where(F.size("hits") > 0).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of `docs` without any benchmark window.
+
+    Each row is decided by its own text, known by its digest; ids may be null or repeat."""
+    digest = F.unhex(F.sha2(docs[f"`{text_col}`"].cast("binary"), 256))
+    texts = docs.select(digest.alias("text_key"), docs[f"`{text_col}`"].alias("text"))
+    bad = scan(texts, benchmark, n, "text_key", "text")[0].where(F.size("hits") > 0)
+    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
+    known = F.coalesce(digest, F.lit(b""))  # a null text has no words
+    return docs.withColumn("__text", known).join(bad, F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
 
 
 def remove_spans(

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm.common import checkpointed
 from tidewatch.llm.components import connected
@@ -56,11 +56,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the fingerprint in the text's place; other columns stay."""
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column("text")
         codes = [fingerprint(t.as_buffer().to_pybytes().lower()) if t.is_valid else 0 for t in texts]
-        signed = np.array(codes, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])
+        signed = pa.array(np.array(codes, np.uint64).view(np.int64))
+        kept = [signed if name == "text" else batch.column(name) for name in batch.schema.names]
+        names = ["fp" if name == "text" else name for name in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(kept, names=names)
 
 
 @cache
@@ -134,6 +137,19 @@ def links(codes: DataFrame) -> DataFrame:
     return home.join(visits, (home["cell"] == visits["cell"]) & near).select("a", "b")
 
 
+def _components(found: DataFrame) -> DataFrame:
+    """(fp, label, component_id) of the distinct codes in `found` (doc_id, fp): the component's least code and id."""
+    codes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = checkpointed(connected(checkpointed(links(codes))).join(codes, F.col("node") == F.col("fp")))
+    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = checkpointed(joined.select("fp", "label").join(least, "label").select("fp", "label", "component_id"))
+    return checkpointed(
+        codes.join(named, "fp", "left").select(
+            "fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id")
+        )
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id.
 
@@ -141,19 +157,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null (smaller components' ids ignore them) or repeat; equal texts always share a
     component. An empty table gives no rows. Only the named columns are read."""
     found = checkpointed(fingerprints(docs, id_col, text_col))
-    codes = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = checkpointed(connected(checkpointed(links(codes))).join(codes, F.col("node") == F.col("fp")))
-    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "label").join(least, "label").select("fp", "component_id")
-    whole = codes.join(checkpointed(named), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    whole = checkpointed(whole)
+    whole = _components(found).drop("label")
     return found.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id stays, with all its columns.
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """Digest of an id and a text; neither nulls nor separators make two pairs alike."""
+    known = F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("null"))
+    return F.unhex(F.sha2(F.concat_ws(":", known, F.isnull(text).cast("int"), F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
-    Of rows without an id one stays for each component that has no other; rows that repeat the
-    smallest id leave one."""
-    decided = near_duplicates(docs, id_col, text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(decided, docs[f"`{id_col}`"].eqNullSafe(decided["__keep"]), "left_semi")
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component exactly one row stays, with all its columns: one with the smallest id.
+
+    A row without an id stays only where no row of the component has one. Rows are known by
+    id and text together, so null and repeated ids decide about no other component's rows."""
+    key = _row_key(docs[f"`{id_col}`"], docs[f"`{text_col}`"])
+    rows = docs.select(
+        docs[f"`{id_col}`"].cast("bigint").alias("doc_id"), docs[f"`{text_col}`"].alias("text"), key.alias("key")
+    )
+    found = checkpointed(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, key binary"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "key")).alias("first")
+    kept = found.join(_components(found), "fp").groupBy("label").agg(first).select(F.col("first.key").alias("__key"))
+    marked = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
+    return marked.dropDuplicates(["__key"]).drop("__key")
