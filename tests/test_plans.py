@@ -60,3 +60,27 @@ def test_bucket_aggregate_combines_before_the_shuffle(spark):
     plan = plan_of(base.slots(spark, SF))
     assert plan.count("partial_max_by") >= 1
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_all_detectors_are_ranked_on_the_same_rows(spark):
+    from tidewatch.plans.store import stored
+
+    ranked = contract.queries()["evaluation_all_detectors"](spark, SF).collect()
+    names = {
+        "Rolling Z-score (Baseline)", "Isolation Forest", "Half-space Trees (Online)", "Elliptic Envelope",
+        "One-class SVM", "Local Outlier Factor", "Sequence Reconstruction",
+    }
+    assert len(ranked) == 7 and {r["model"] for r in ranked} == names
+    scores = stored(spark, SF, "detector_scores", None)
+    counts = scores.groupBy("model").agg(F.count("score"), F.countDistinct("sensor_id", "pos")).collect()
+    assert len({tuple(r)[1:] for r in counts}) == 1 and counts[0][1] == counts[0][2] > 0
+
+
+def test_prequential_query_reads_every_feature(spark, monkeypatch):
+    from tidewatch.operators import features
+    from tidewatch.plans import detector_queries
+
+    seen = []
+    monkeypatch.setattr(detector_queries.halfspace, "prequential", lambda rows, names, keys: seen.append(names) or rows)
+    detector_queries.QUERIES["half_space_trees_prequential"](spark, SF)
+    assert seen == [features.FEATURES]

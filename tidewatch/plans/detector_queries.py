@@ -58,8 +58,8 @@ def half_space(spark, sf):
 @query("half_space_trees_prequential")
 def half_space_online(spark, sf):
     rows = feature_store(spark, sf).where(F.col("pos") >= 0)
-    unit = rows.withColumns({c: F.least(F.greatest((F.col(c) + 3) / 6, F.lit(0.0)), F.lit(1.0)) for c in ("lag_1", "ewma_5", "ewma_60")})
-    return halfspace.prequential(unit.na.fill(0.0), ["lag_1", "ewma_5", "ewma_60"], ["sensor_id"])
+    unit = rows.withColumns({c: F.least(F.greatest((F.col(c) + 3) / 6, F.lit(0.0)), F.lit(1.0)) for c in features.FEATURES})
+    return halfspace.prequential(unit.na.fill(0.0), features.FEATURES, ["sensor_id"])
 
 
 @query("elliptic_envelope")
@@ -591,12 +591,17 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
         "Isolation Forest": isolation.fit(train, features.FEATURES, ROW),
         "Half-space Trees (Online)": halfspace.fit(train, features.FEATURES, ["ts", "sensor_id"]),
         "Elliptic Envelope": envelope.fit(train, features.FEATURES, ROW),
+        "One-class SVM": oneclass.fit(train, features.FEATURES),
+        "Local Outlier Factor": neighbours.fit(train, features.FEATURES, 20),
     }
     columns = [*ROW, "split", "label"]
     long = held.select(F.lit("Rolling Z-score (Baseline)").alias("model"), *columns, F.abs("zscore_15").alias("score"))
     for name, model in fitted.items():
         if model is not None:
             long = long.unionByName(model.transform(held).select(F.lit(name).alias("model"), *columns, "score"))
+    windows = sequence.sequences(rows, features.FEATURES, ["sensor_id"])
+    linear = sequence.fit(splits.normal_rows(windows), len(features.FEATURES)).transform(windows.where("split <> 'train'"))
+    long = long.unionByName(linear.select(F.lit("Sequence Reconstruction").alias("model"), *columns, "score"))
     long = stored(spark, sf, "detector_scores", lambda: long)
     limits = thresholds.best_linear(long.where("split = 'val'"), ["model"]).select("model", "threshold")
     preds = long.where("split = 'test'").join(limits, "model").withColumn(
