@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontamination, exact_dedup, html, language, pieces, secrets, sharding, simhash, toxicity
+from tidewatch.llm import bpe, chat, decontamination, exact_dedup, html, language, pieces, secrets, sharding, simhash, toxicity
 from tidewatch.llm.common import checkpointed, table
 
 
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trips(table(spark, sf_dir, "documents"), bpe.read_definition()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html,
         op9_simhash,
         op10_toxicity,
+        op11_bpe,
     )
 }
 
