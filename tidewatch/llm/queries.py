@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chat, decontamination, exact_dedup, html, language, pieces, secrets, sharding, simhash, toxicity
+from tidewatch.llm import bpe, chat, decontamination, exact_dedup, html, language, negatives, pieces, secrets, sharding, simhash, toxicity
 from tidewatch.llm.common import checkpointed, table
 
 
@@ -66,6 +66,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trips(table(spark, sf_dir, "documents"), bpe.read_definition()))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash,
         op10_toxicity,
         op11_bpe,
+        op12_negatives,
     )
 }
 
@@ -133,4 +138,27 @@ WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS norm FROM docu
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY norm)""",
+    "op12_negatives": """
+WITH usable AS (
+  SELECT vec_id, label::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(x, lambda c: c::BIGINT) AS x, row_number() OVER () AS r
+  FROM usable
+), scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS anchor_label, b.r AS br, b.vec_id AS id, b.label AS label,
+         list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r
+), positives AS (
+  SELECT ar, anchor_id, br AS pr, id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, br) <= 5
+)
+SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.id, s.br)::INTEGER AS rank
+FROM positives p JOIN scored s ON s.ar = p.ar AND s.label <> s.anchor_label
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.id, s.br) <= 5""",
 }
