@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chat, decontamination, exact_dedup, html, language, negatives, pieces, secrets, sharding, simhash, toxicity
+from tidewatch.llm import bpe, chat, decontamination, exact_dedup, html, language, negatives, pieces, secrets, sharding, simhash, toxicity, variants
 from tidewatch.llm.common import checkpointed, table
 
 
@@ -70,6 +70,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_bpe,
         op12_negatives,
+        op13_variants,
     )
 }
 
