@@ -11,10 +11,9 @@ asks for by the chain of left parts. Tokens are numbered in both trees of parts
 the tokens a gadget touches are neighbours: a gadget is one rectangle of (last token, next
 token), and a state keeps the sorted edges of the stretches of arcs it bars.
 
-A word is encoded from the left. Each boundary keeps the one token that ends there on the
-path from the word's begin, found by walking the table of the tokens' bytes and asking the
-state before; the arcs on the way to the last boundary are the ids. Decoding writes the
-arcs' labels.
+A word is encoded from the left: the table of the tokens' bytes gives the arcs that its next
+bytes spell, the state tells which of them are barred, and the longest open one that leads
+on to the word's end is taken. Their ids are the encoding. Decoding writes the arcs' labels.
 """
 
 from __future__ import annotations
@@ -50,21 +49,21 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def split_pattern(tokenizer: Tokenizer) -> str:
-    """The pre-splitting of a byte-level tokenizer as a pattern.
+def split_pattern(tokenizer: Tokenizer, until: int = 0x110000) -> str:
+    """The pre-splitting of a byte-level tokenizer as a pattern, for texts of code points below `until`.
 
     Letters, numbers and white space are taken from how the library itself splits the whole
     code space, so that both agree about every character, whatever their Unicode versions."""
     cut = tokenizer.pre_tokenizer.pre_tokenize_str
     kinds: dict[str, list[str]] = {"a": [], "1": [], "!": [], "": []}
-    for page in range(0, 0x110000, 0x8000):
-        space = "".join(chr(c) for c in range(page, page + 0x8000) if not 0xD800 <= c < 0xE000)
-        for _, (begin, until) in cut(space):
-            if space[begin] == " " and until - begin > 1:  # a blank goes with what follows it
+    for page in range(0, until, 0x8000):
+        space = "".join(chr(c) for c in range(page, min(page + 0x8000, until)) if not 0xD800 <= c < 0xE000)
+        for _, (begin, end) in cut(space):
+            if space[begin] == " " and end - begin > 1:  # a blank goes with what follows it
                 kinds[""].append(r"\ ")
                 begin += 1
             joined = next(k for k in kinds if not k or len(cut(k + space[begin])) == 1)
-            kinds[joined].append(f"\\U{ord(space[begin]):08x}-\\U{ord(space[until - 1]):08x}")
+            kinds[joined].append(f"\\U{ord(space[begin]):08x}-\\U{ord(space[end - 1]):08x}")
     letter, number, _, blank = ("".join(k) for k in kinds.values())
     return (
         f" ?[{letter}]++| ?[{number}]++|'(?:[stmd]|re|ve|ll)| ?[^{blank}{letter}{number}]++|[{blank}]+(?![^{blank}])|[{blank}]+"
@@ -106,7 +105,8 @@ class Automaton:
         if model.get("dropout") or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
             raise ValueError("only definitions that apply every merge can be used")
         self.pattern = pattern or split_pattern(tokenizer)
-        self.words = re.compile(self.pattern).findall
+        self._words = re.compile(self.pattern).findall
+        self._latin_words = re.compile(split_pattern(tokenizer, 256)).findall  # the same, with small character sets
         self._compile(model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
         added = spec["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
@@ -157,8 +157,8 @@ class Automaton:
         for _, a, b, token in reversed(made):
             below_left[a].append(token)
             below_right[b].append(token)
-        self.row, row_end = _preorder(right, below_right)
-        self.column, column_end = _preorder(left, below_left)
+        row, row_end = _preorder(right, below_right)
+        column, column_end = _preorder(left, below_left)
 
         # One gadget for each merge: rows are the tokens that end with a whole a, columns those
         # that begin with a whole b. Of two equal merges that overlap the left one comes first,
@@ -166,8 +166,8 @@ class Automaton:
         opened: list[list[tuple[int, int]]] = [[] for _ in range(len(names) + 1)]
         closed: list[list[tuple[int, int]]] = [[] for _ in range(len(names) + 1)]
         for r, a, b, _ in made:
-            rows = self._stretch(self.row, row_end, below_right[a], rank, a, r + 1)
-            columns = self._stretch(self.column, column_end, below_left[b], rank, b, r)
+            rows = self._stretch(row, row_end, below_right[a], rank, a, r + 1)
+            columns = self._stretch(column, column_end, below_left[b], rank, b, r)
             opened[rows[0]].append(columns)
             closed[rows[1]].append(columns)
         # From row to row: the stretches barred there, joined. Equal neighbours share a state.
@@ -189,19 +189,19 @@ class Automaton:
                         joined += [begin, until]
                 edges.append(joined)
             states[at] = len(edges) - 1
-        self.state = states[self.row].tolist()  # of each token; any arc may be taken at a word's begin
-        self.barred = edges
-        self.asks = self.column.tolist()
+        self.bars = [edges[k] for k in states[row]]  # of each token's state; a word's begin bars nothing
+        self.asks = column.tolist()
 
         self.ids = [vocab[name] for name in names]
         spelled = [b"".join(map(octet.__getitem__, name)) for name in names]
         self.labels = {i: b"".join(map(octet.__getitem__, name)) for name, i in vocab.items() if octet.keys() >= set(name)}
-        self.root: list = [None, {}]  # a node: the token that ends here, and the next bytes
-        for token, label in enumerate(spelled):
-            node = self.root
-            for b in label:
-                node = node[1].setdefault(b, [None, {}])
-            node[0] = token
+        # The bytes' table: by byte the token that ends there (or -1), what its arc asks for, and the next bytes.
+        self.root: dict[int, tuple[int, int, dict]] = {}
+        for token, label in sorted(enumerate(spelled), key=lambda t: len(t[1])):
+            nodes = self.root
+            for b in label[:-1]:
+                nodes = nodes.setdefault(b, (-1, 0, {}))[2]
+            nodes[label[-1]] = (token, self.asks[token], nodes[label[-1]][2] if label[-1] in nodes else {})
 
     @staticmethod
     def _stretch(first, behind, children: list[int], rank: list[int], part: int, least: int) -> tuple[int, int]:
@@ -213,32 +213,44 @@ class Automaton:
             until = behind[child]
         return int(first[part]), int(until)
 
+    def words(self, text: str) -> list[str]:
+        latin = len(text.encode("latin-1", "ignore")) == len(text)
+        return self._latin_words(text) if latin else self._words(text)
+
     def may_follow(self, last: int, token: int) -> bool:
-        return not bisect_right(self.barred[self.state[last]], self.asks[token]) & 1
+        return not bisect_right(self.bars[last], self.asks[token]) & 1
 
     def path(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word: the arcs from its begin to its end."""
-        size = len(word)
-        last: list[int] = [-1] * (size + 1)  # the token that ends at each boundary
-        start = [0] * (size + 1)
-        state, barred, asks, root = self.state, self.barred, self.asks, self.root[1]
-        for i in range(size):
-            if i and last[i] < 0:
-                continue
-            edges = barred[state[last[i]]] if i else barred[0]
-            nodes = root
-            for j in range(i, size):
-                node = nodes.get(word[j])
-                if node is None:
-                    break
-                token, nodes = node
-                if token is not None and last[j + 1] < 0 and not bisect_right(edges, asks[token]) & 1:
-                    last[j + 1], start[j + 1] = token, i
-        found, until = [], size
-        while until:
-            found.append(self.ids[last[until]])
-            until = start[until]
-        return found[::-1]
+        """Ids of one pre-split word: the arcs from its begin to its end.
+
+        A boundary has at most one path that leads to it, so one that leads nowhere is left for good."""
+        size, at, edges, dead = len(word), 0, [], set()
+        root, bars = self.root, self.bars
+        arcs: list[int] = []
+        waiting: list[tuple[int, list]] = []  # boundaries on the path, with the shorter arcs not yet tried
+        while at < size:
+            open_arcs, nodes, until = [], root, at
+            while until < size and (node := nodes.get(word[until])) is not None:
+                token, ask, nodes = node
+                until += 1
+                if token >= 0:
+                    open_arcs.append((until, token, ask))
+            while True:
+                while open_arcs:
+                    until, token, ask = open_arcs.pop()
+                    if until not in dead and not bisect_right(edges, ask) & 1:
+                        break
+                else:
+                    dead.add(at)
+                    at, open_arcs = waiting.pop()
+                    arcs.pop()
+                    edges = bars[arcs[-1]] if arcs else []
+                    continue
+                break
+            waiting.append((at, open_arcs))
+            arcs.append(token)
+            at, edges = until, bars[token]
+        return list(map(self.ids.__getitem__, arcs))
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a word, remembered in two generations, so that what is met again stays."""
