@@ -1,11 +1,12 @@
-"""Local outlier factor (Breunig et al. 2000) over an exact distributed k-NN join.
+"""Local outlier factor (Breunig et al. 2000) over a distributed k-NN join, exact or probing.
 
-The join follows the pivot scheme of Lu et al. (2012): rows go to the cell of
+The exact join follows the pivot scheme of Lu et al. (2012): rows go to the cell of
 their nearest pivot; triangle-inequality bounds tell which cells of queries a
 reference row can matter to, and only those receive a copy. Equal points are
 collapsed to one weighted point first, so a group of copies costs one row.
 Inside a cell, blocks of queries meet blocks of references as numpy matrices and
-only the k best per query leave the task.
+only the k best per query leave the task. The probing join of `probing.py` looks into as many
+cells as a wanted recall needs; its cost per row does not grow with the references.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tidewatch.operators.detectors import probing
 from tidewatch.operators.detectors.base import as_vector, key_hash, matrix
 from tidewatch.session import materialize
 
@@ -144,6 +148,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, same: bool = False) ->
                 )
 
     found = pairs.mapInPandas(best, "query string, id string, dist double, w long")
+    return _by_weight(found, k, same)
+
+
+def _by_weight(found: DataFrame, k: int, same: bool) -> DataFrame:
+    """The nearest points up to a total weight of k; a query itself counts its other copies only."""
     if same:
         found = found.withColumn("w", F.when(F.col("query") == F.col("id"), F.col("w") - 1).otherwise(F.col("w")))
         found = found.where(F.col("w") > 0)
@@ -166,15 +175,52 @@ def _blocks(df: DataFrame, counts: pd.DataFrame, size: int, name: str) -> DataFr
     return df.withColumn(name, F.floor(key_hash(["id"], 11) * per_cell).cast("int"))
 
 
+def probing_join(index: probing.Index, k: int) -> DataFrame:
+    """(query, id, dist, w) of the index's own points, as `knn_join` gives them, with the index's recall."""
+
+    def rows(block: pa.RecordBatch, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
+        query = np.repeat(block.column(0).to_numpy(zero_copy_only=False), dist.shape[1])
+        columns = [query, kept[0].ravel(), dist.ravel(), kept[1].ravel().astype(np.int64)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query", "id", "dist", "w"])
+
+    queries = index.refs.select(F.col("id").alias("query"), "x", "cell")
+    found = probing.probe(index, queries, k + 1, ["id", "w"], rows, "query string, id string, dist double, w long")
+    return _by_weight(found, k, same=True)
+
+
 @dataclass
 class LofModel:
-    """refs: (id, x, w, kdist, lrd), written to the shared folder."""
+    """refs: (id, x, w, kdist, lrd), written to the shared folder; with an index also their cell."""
 
     features: list[str] | str
     refs: DataFrame
     k: int
+    index: probing.Index | None = None
 
     def transform(self, df: DataFrame, name: str = "score") -> DataFrame:
+        return self._probed(df, name) if self.index else self._exact(df, name)
+
+    def _probed(self, df: DataFrame, name: str) -> DataFrame:
+        """One shuffle: rows travel to the cells they probe and leave with their score."""
+        k = self.k
+
+        def score(block: pa.RecordBatch, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
+            w, kdist, lrd = (c.astype(float) for c in kept)
+            w = np.minimum(w, np.maximum(k - (np.cumsum(w, 1) - w), 0))
+            total = w.sum(1)
+            own = 1.0 / ((w * np.maximum(dist, kdist)).sum(1) / total + TINY)
+            around = (w * lrd).sum(1) / total
+            row = block.column(0)
+            names = [row.type.field(i).name for i in range(row.type.num_fields)]
+            return pa.RecordBatch.from_arrays([*row.flatten(), pa.array(around / own)], [*names, name])
+
+        rest = df.drop(name) if name in df.columns else df
+        row = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row")
+        queries = probing.placed(rest.select(row, as_vector(self.features).alias("x")), self.index.pivots)
+        schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
+        return probing.probe(self.index, queries, k, ["w", "kdist", "lrd"], score, schema)
+
+    def _exact(self, df: DataFrame, name: str) -> DataFrame:
         keyed = df.withColumn("_point", point_id(as_vector(self.features)))
         points = distinct_points(df, self.features)
         near = knn_join(points, self.refs.select("id", "x", "w"), self.k)
@@ -189,17 +235,20 @@ class LofModel:
         return keyed.join(scored, "_point").drop("_point")
 
 
-def fit(df: DataFrame, features: list[str] | str, k: int = 20) -> LofModel:
-    """Local reachability density of every reference point."""
+def fit(df: DataFrame, features: list[str] | str, k: int = 20, recall: float | None = None) -> LofModel:
+    """Local reachability density of every reference point: exact, or probing with a wanted recall."""
     points = materialize(distinct_points(df, features), "lof-points")
     copies = points.agg(F.sum("w").alias("n")).first()["n"]
     k = min(k, copies - 1)
-    near = materialize(knn_join(points.select("id", "x"), points, k, same=True), "lof-near")
+    index = probing.build(points, k, recall) if recall is not None else None
+    joined = probing_join(index, k) if index else knn_join(points.select("id", "x"), points, k, same=True)
+    near = materialize(joined, "lof-near")
     kdist = near.groupBy("query").agg(F.max("dist").alias("kdist"))
     reach = near.join(kdist.withColumnRenamed("query", "id"), "id")
     w = F.col("w")
     density = reach.groupBy("query").agg(
         (1.0 / (F.sum(w * F.greatest("dist", "kdist")) / F.sum(w) + F.lit(TINY))).alias("lrd")
     )
-    refs = points.join(kdist.join(density, "query").withColumnRenamed("query", "id"), "id")
-    return LofModel(features, materialize(refs, "lof-model"), k)
+    known = index.refs if index else points
+    refs = materialize(known.join(kdist.join(density, "query").withColumnRenamed("query", "id"), "id"), "lof-model")
+    return LofModel(features, refs, k, index.with_refs(refs, ["w", "kdist", "lrd"]) if index else None)

@@ -96,7 +96,8 @@ def _prepared(df: DataFrame, value: str, chunk: int, halo: int) -> tuple[DataFra
     copies = F.when(
         (F.col("_idx") >= 0) & (F.col("_idx") % chunk >= chunk - halo), F.array(F.col("_home"), F.col("_home") + 1)
     ).otherwise(F.array(F.col("_home")))
-    return placed, placed.withColumn("_chunk", F.explode(copies))
+    # By both: rows that come dealt by sensor alone would satisfy the windows as well, and keep a hot sensor in one task.
+    return placed, placed.withColumn("_chunk", F.explode(copies)).repartition("sensor_id", "_chunk")
 
 
 def rolling_features(

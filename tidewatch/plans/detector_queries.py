@@ -121,9 +121,7 @@ def lof_events(spark, sf):
     return scored_test(neighbours.fit(train, features.FEATURES, 20), spark, sf)
 
 
-@query(
-    "local_outlier_factor",
-    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), refs AS (SELECT * FROM e WHERE label < 5),
+LOF_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), refs AS (SELECT * FROM e WHERE label < 5),
        rr AS (SELECT a.vec_id AS q, b.vec_id AS o, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: power(p[1] - p[2], 2)))) AS d
               FROM refs a JOIN refs b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d) <= 20),
        kd AS (SELECT q, max(d) AS kdist FROM rr GROUP BY 1),
@@ -131,8 +129,10 @@ def lof_events(spark, sf):
        qr AS (SELECT a.vec_id AS q, b.vec_id AS o, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: power(p[1] - p[2], 2)))) AS d
               FROM e a JOIN refs b ON a.label >= 5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d) <= 20)
        SELECT qr.q AS vec_id, round(avg(lrd) * (avg(greatest(d, kdist)) + 1e-10), 6) + 0.0::DOUBLE AS score
-       FROM qr JOIN kd ON kd.q = qr.o JOIN lrd ON lrd.q = qr.o GROUP BY 1""",
-)
+       FROM qr JOIN kd ON kd.q = qr.o JOIN lrd ON lrd.q = qr.o GROUP BY 1"""
+
+
+@query("local_outlier_factor", LOF_SQL)
 def lof_embeddings(spark, sf):
     """Reference: the embeddings of classes 0-4; scored: all others."""
     rows = table(spark, sf, "embeddings")
@@ -140,6 +140,21 @@ def lof_embeddings(spark, sf):
     return model.transform(rows.where("label >= 5")).select("vec_id", r("score").alias("score"))
 
 
+@query("local_outlier_factor_probing", LOF_SQL)
+def lof_embeddings_probing(spark, sf):
+    """The same by probing; with fewer than a thousand references there is one cell and nothing to miss."""
+    rows = table(spark, sf, "embeddings")
+    model = neighbours.fit(rows.where("label < 5"), "embedding", 20, recall=0.95)
+    return model.transform(rows.where("label >= 5")).select("vec_id", r("score").alias("score"))
+
+
+@query("local_outlier_factor_events_probing")
+def lof_events_probing(spark, sf):
+    """Every test row by the cells it probes, with a recall of 0.95 or more."""
+    train = splits.normal_rows(complete(spark, sf))
+    return scored_test(neighbours.fit(train, features.FEATURES, 20, recall=0.95), spark, sf)
+
+
 @query("tune_neighbours")
 def tuned(spark, sf):
     """Neighbour count and threshold with the best F1: class 9 counts as defective."""
