@@ -1,4 +1,9 @@
-"""Drift on the stream: the last 500 feature rows per sensor as keyed state."""
+"""Drift on the stream: the last 500 feature rows as keyed state, per sensor or over all sensors.
+
+Over all sensors two stateful steps follow each other. The first, by sensor, lets only those
+rows pass that are among the sensor's own newest ones; of a micro-batch that is a bounded number
+per sensor. The second merges them into one window of the newest rows of all.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,6 +82,83 @@ class DriftWindow(StatefulProcessor):
         pass
 
 
+NEWEST = T.StructType([T.StructField("us", T.ArrayType(T.LongType())), T.StructField("seq", T.ArrayType(T.LongType()))])
+
+
+def _micros(stamps: pd.Series) -> np.ndarray:
+    return stamps.to_numpy().astype("datetime64[us]").astype("int64")
+
+
+class NewestOfSensor(StatefulProcessor):
+    """Passes the rows on that are among the sensor's `size` newest so far; keeps their times only."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("newest", NEWEST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        us, seq = (np.array(x, np.int64) for x in self.state.get()) if self.state.exists() else (np.zeros(0, np.int64),) * 2
+        newest = None
+        for part in rows:
+            newest = part if newest is None else pd.concat([newest, part])
+            newest = newest.sort_values(["ts", "seq"], kind="stable").tail(self.size)
+        both = np.stack([np.concatenate([us, _micros(newest["ts"])]), np.concatenate([seq, newest["seq"].to_numpy(np.int64)])])
+        kept = np.lexsort((both[1], both[0]))[-self.size :]
+        self.state.update((both[0, kept].tolist(), both[1, kept].tolist()))
+        passed = np.sort(kept[kept >= len(us)] - len(us))
+        yield newest.iloc[passed]
+
+    def close(self) -> None:
+        pass
+
+
+class NewestOfAll(StatefulProcessor):
+    """One window over all sensors: `size` x features numbers. Reports after every micro-batch."""
+
+    def __init__(self, stats: Stats, size: int):
+        self.stats, self.size = stats, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [T.StructField("us", T.LongType()), T.StructField("sensor_id", T.StringType()), T.StructField("seq", T.LongType())]
+        fields.append(T.StructField("x", T.ArrayType(T.DoubleType())))
+        self.state = handle.getListState("window", T.StructType(fields))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [s[0] for s in self.stats]
+        window = list(self.state.get()) if self.state.exists() else []
+        for part in rows:
+            x = part[names].to_numpy(dtype=float).tolist()
+            window += zip(_micros(part["ts"]).tolist(), part["sensor_id"], part["seq"].tolist(), x)
+            window = sorted(window, key=lambda row: row[:3])[-self.size :]
+        self.state.put([tuple(row) for row in window])
+        report = window_drift(np.array([row[3] for row in window], dtype=float), self.stats)
+        out = pd.DataFrame(report, columns=["feature", "ord", "n", "psi", "shift", "status"])
+        out.insert(0, "as_of", pd.Timestamp(window[-1][0], unit="us"))
+        out.insert(0, "sensor_id", "all")
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def drift_of_all(features: DataFrame, stats: Stats, size: int = LIVE_ROWS) -> DataFrame:
+    """OUTPUT rows with sensor_id = 'all': drift of the newest `size` rows by (ts, sensor_id)."""
+    names = [s[0] for s in stats]
+    rows = features.select("sensor_id", "ts", "seq", *names)
+    newest = rows.groupBy("sensor_id").transformWithStateInPandas(
+        statefulProcessor=NewestOfSensor(size), outputStructType=rows.schema, outputMode="Append", timeMode="None"
+    )
+    return (
+        newest.withColumn("scope", F.lit("all"))
+        .groupBy("scope")
+        .transformWithStateInPandas(
+            statefulProcessor=NewestOfAll(stats, size), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        )
+    )
+
+
 def drift_stream(features: DataFrame, stats: Stats, size: int = LIVE_ROWS) -> DataFrame:
     names = [s[0] for s in stats]
     return (
