@@ -46,6 +46,37 @@ def test_long_texts_commit_in_steps(coder):
     assert len(steps) > 10 and [p for s in steps for p in s] == coder.merged(text)
 
 
+def test_every_stretch_is_committed_by_the_search(monkeypatch):
+    coder, committed = pieces.Pieces(pieces.read_model()), []
+    search = coder.search
+
+    def watched(text):
+        for step in search(text):
+            committed.append("".join(step))
+            yield step
+
+    monkeypatch.setattr(coder, "search", watched)
+    text = "Short words, then one of " + "qwertyuiopasdfghjklzxcvbnm" * 40_000 + " letters."  # a megabyte without a space
+    ids = coder.encode(text)
+    assert "".join(committed).replace(pieces.MARK, " ") == " " * bool(coder.prefix) + text
+    assert max(map(len, committed)) <= (pieces.LOOK + 30) * coder.width and coder.decode(ids) == text
+
+
+def test_merging_is_not_quadratic(coder):
+    assert "".join(coder.merged("ab" * 200_000)) == "ab" * 200_000
+
+
+def test_round_trips_equal_the_library(spark, docs):
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(i, t) for i, t in enumerate(texts())] + [(1, "twice"), (1, "twice"), (None, "no id"), (7, None), (8, "x" * 300_000)]
+    got = pieces.round_trips(docs(rows), pieces.read_model()).collect()
+    want = [(i, None if t is None else library.encode(t), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2] or "")
+    assert sorted(((r["doc_id"], r["ids"], r["decoded_sha256"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["round_trip"] and r["n_ids"] == len(r["ids"] or []) for r in got)
+    assert pieces.round_trips(docs([]), pieces.read_model()).count() == 0
+
+
 def test_unigram_search_finds_the_best_path():
     from sentencepiece import sentencepiece_model_pb2 as spm
 

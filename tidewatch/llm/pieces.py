@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,9 @@ from sentencepiece import sentencepiece_model_pb2 as spm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMO, NEAR, FITS, SHORT = 200_000, 800_000, 50_000, 48
+MEMO, NEAR, FITS = 200_000, 800_000, 50_000
+#: Stretches of at most so many characters are remembered; the search's window, in lengths of the longest piece.
+REMEMBERED, LOOK = 48, 4
 ROWS = 512
 TRIP = pa.schema(
     [
@@ -100,17 +103,28 @@ class Pieces:
         return f"{MARK}*[{s}]*[^{MARK}{s}{n}]+|{MARK}*[{s}]+|{MARK}+|[{n}]"
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of a short text by repeated merging of the best, leftmost pair."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Pieces of a text by repeated merging of the best, leftmost pair."""
+        parts: list[str | None] = list(text)
+        before, behind = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        scores = self.scores
+        pairs = [(-scores[a + b], i, a, b) for i, (a, b) in enumerate(zip(text, text[1:])) if a + b in scores]
+        heapify(pairs)
+        while pairs:
+            _, i, a, b = heappop(pairs)
+            j = behind[i]
+            if parts[i] != a or j >= len(parts) or parts[j] != b:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = a + b, None
+            behind[i] = behind[j]
+            if behind[i] < len(parts):
+                before[behind[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and behind[k] < len(parts):
+                    left, right = parts[k], parts[behind[k]]
+                    score = scores.get(left + right)
+                    if score is not None:
+                        heappush(pairs, (-score, k, left, right))
+        return [p for p in parts if p is not None]
 
     def halves(self, piece: str) -> tuple[str, str]:
         """The two parts of a piece's last merge."""
@@ -166,83 +180,80 @@ class Pieces:
         return fit
 
     def search(self, text: str) -> Iterator[list[str]]:
-        """Committed pieces of a text in order. Alive: one path for each of the last boundaries."""
-        paths: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}
-        scores, tree, bpe, fit, size = self.scores, self.tree, self.bpe, self._fit, len(text)
-        done, look = 0, 4 * self.width
+        """Committed pieces of a text in order.
+
+        The window holds the boundaries that are not committed: of each the piece that ends there on
+        its surviving path, and where that piece begins. When it is LOOK pieces long, and whenever it
+        has grown by another, all paths that are alive are followed back; what lies before the
+        boundary where they meet is committed and leaves the window."""
+        tree, near, number, scores, bpe, size = self.tree, self._near, self.number, self.scores, self.bpe, len(text)
+        look, room = LOOK * self.width, (LOOK + 1) * self.width + 2
+        base = 0  # the window's first boundary
+        last: list[int | None] = [0, *[None] * min(size + 1, room)]
+        start, total = [0] * len(last), [0.0] * len(last)
         for i in range(size):
-            path = paths.get(i)
-            if path is None:
+            at = i - base
+            if at >= look:
+                meet = self._meet(last, start, at)
+                if meet:
+                    yield self._path(text, start, base, meet)
+                    last = [*last[meet:], *[None] * meet]
+                    start = [x - meet for x in start[meet:]] + [0] * meet
+                    total = [*total[meet:], *[0.0] * meet]
+                    base, at, look = base + meet, at - meet, LOOK * self.width
+                else:  # no boundary is common to all paths yet
+                    look += self.width
+                    last += [None] * self.width
+                    start += [0] * self.width
+                    total += [0.0] * self.width
+            left = last[at]
+            if left is None:
+                continue
+            node, j, place = tree, i, at
+            if bpe:
+                while j < size and (node := node.get(text[j])) is not None:
+                    j += 1
+                    place += 1
+                    if last[place] is None and (piece := node.get("")) is not None:
+                        pair = left << 20 | number[piece]
+                        fits = near.get(pair)
+                        if fits is None:
+                            if len(near) > NEAR:
+                                near.clear()
+                            fits = near[pair] = self.apart(self.named[left], piece)
+                        if fits:
+                            last[place], start[place] = number[piece], at
+                if last[at + 1] is None and text[i] not in scores:  # a character without a piece
+                    last[at + 1], start[at + 1] = 1, at
                 continue
-            score, _, last = path
-            node, j = tree, i
             while j < size and (node := node.get(text[j])) is not None:
                 j += 1
+                place += 1
                 piece = node.get("")
-                if piece is None or (bpe and j in paths):
-                    continue
-                if not bpe:
-                    if j not in paths or score + scores[piece] > paths[j][0]:
-                        paths[j] = (score + scores[piece], i, piece)
-                elif fit[last, piece] if (last, piece) in fit else self.apart(last, piece):
-                    paths[j] = (0.0, i, piece)
-            if text[i] not in scores and (not bpe or i + 1 not in paths):  # a character without a piece
-                if i + 1 not in paths or score + self.unknown > paths[i + 1][0]:
-                    paths[i + 1] = (score + self.unknown, i, text[i])
-            if i >= look:
-                look = i + self.width
-                alive = {j for j in paths if j > i}
-                while len(alive) > 1:
-                    far = max(alive)
-                    alive.remove(far)
-                    alive.add(paths[far][1])
-                meet = alive.pop()
-                if meet > done:
-                    yield self._path(paths, done, meet)
-                    paths = {j: p for j, p in paths.items() if j >= meet}
-                    done = meet
-        if len(text) not in paths:  # equal scores of several pieces: the procedure itself decides
-            yield self.merged(text[done:])
+                if piece is not None and (last[place] is None or total[at] + scores[piece] > total[place]):
+                    last[place], start[place], total[place] = number[piece], at, total[at] + scores[piece]
+            if text[i] not in scores and (last[at + 1] is None or total[at] + self.unknown > total[at + 1]):
+                last[at + 1], start[at + 1], total[at + 1] = 1, at, total[at] + self.unknown
+        if last[size - base] is None:  # equal scores of several pieces: the procedure itself decides
+            yield self.merged(text[base:])
         else:
-            yield self._path(paths, done, len(text))
+            yield self._path(text, start, base, size - base)
 
     @staticmethod
-    def _path(paths: dict, begin: int, until: int) -> list[str]:
-        found = []
-        while until > begin:
-            _, until, piece = paths[until]
-            found.append(piece)
-        return found[::-1]
+    def _meet(last: list[int | None], start: list[int], at: int) -> int:
+        """The last boundary of the window that all paths to boundaries from `at` on go through."""
+        alive = {k for k in range(at, len(last)) if last[k] is not None}
+        while len(alive) > 1:
+            far = max(alive)
+            alive.remove(far)
+            alive.add(start[far])
+        return alive.pop() if alive else 0
 
-    def _short(self, text: str) -> list[str]:
-        """The same search for a BPE stretch that is no longer than the window: numbers for pieces,
-        and one commit at the end."""
-        tree, near, number, size = self.tree, self._near, self.number, len(text)
-        last: list[int | None] = [0, *[None] * size]
-        start = [0] * (size + 1)
-        for i in range(size):
-            left = last[i]
-            if left is None:
-                continue
-            node, j = tree, i
-            while j < size and (node := node.get(text[j])) is not None:
-                j += 1
-                if last[j] is None and (piece := node.get("")) is not None:
-                    pair = left << 20 | number[piece]
-                    fits = near.get(pair)
-                    if fits is None:
-                        if len(near) > NEAR:
-                            near.clear()
-                        fits = near[pair] = self.apart(self.named[left], piece)
-                    if fits:
-                        last[j], start[j] = number[piece], i
-            if last[i + 1] is None and text[i] not in self.scores:
-                last[i + 1], start[i + 1] = 1, i
-        if last[size] is None:  # equal scores of several pieces: the procedure itself decides
-            return self.merged(text)
-        found, until = [], size
-        while until:
-            found.append(text[start[until] : until])
+    @staticmethod
+    def _path(text: str, start: list[int], base: int, until: int) -> list[str]:
+        found = []
+        while until > 0:
+            found.append(text[base + start[until] : base + until])
             until = start[until]
         return found[::-1]
 
@@ -254,13 +265,12 @@ class Pieces:
         if known is not None:
             self._memo[text] = known
             return known
-        short = len(text) <= SHORT
         out: list[int] = []
-        for pieces in (self._short(text),) if short and self.bpe else self.search(text):
+        for pieces in self.search(text):
             for piece in pieces:
                 number = self.ids.get(piece)
                 out.extend([number] if number is not None else [self.bytes[b] for b in piece.encode()])
-        if short:
+        if len(text) <= REMEMBERED:
             if len(self._memo) > MEMO:  # two generations: what is met again stays
                 self._older, self._memo = self._memo, {}
             self._memo[text] = tuple(out)
