@@ -186,58 +186,75 @@ class Pieces:
         its surviving path, and where that piece begins. When it is LOOK pieces long, and whenever it
         has grown by another, all paths that are alive are followed back; what lies before the
         boundary where they meet is committed and leaves the window."""
-        tree, near, number, scores, bpe, size = self.tree, self._near, self.number, self.scores, self.bpe, len(text)
-        look, room = LOOK * self.width, (LOOK + 1) * self.width + 2
-        base = 0  # the window's first boundary
-        last: list[int | None] = [0, *[None] * min(size + 1, room)]
-        start, total = [0] * len(last), [0.0] * len(last)
-        for i in range(size):
-            at = i - base
-            if at >= look:
-                meet = self._meet(last, start, at)
-                if meet:
-                    yield self._path(text, start, base, meet)
-                    last = [*last[meet:], *[None] * meet]
-                    start = [x - meet for x in start[meet:]] + [0] * meet
-                    total = [*total[meet:], *[0.0] * meet]
-                    base, at, look = base + meet, at - meet, LOOK * self.width
-                else:  # no boundary is common to all paths yet
-                    look += self.width
-                    last += [None] * self.width
-                    start += [0] * self.width
-                    total += [0.0] * self.width
-            left = last[at]
+        base, at, look = 0, 0, LOOK * self.width  # the window's first boundary, the next one in it, its length
+        last: list[int | None] = [0]
+        start, total = [0], [0.0]
+        while True:
+            part = text[base : base + look + self.width]  # as far as pieces of the window reach
+            room = len(part) + 1 - len(last)
+            last += [None] * room
+            start += [0] * room
+            whole = base + len(part) == len(text)
+            until = len(part) if whole else look
+            if self.bpe:
+                self._bpe_steps(part, at, until, last, start)
+            else:
+                total += [0.0] * room
+                self._unigram_steps(part, at, until, last, start, total)
+            if whole:
+                break
+            meet = self._meet(last, start, until)
+            if meet:
+                yield self._path(part, start, meet)
+                del last[:meet], total[:meet]
+                start = [x - meet for x in start[meet:]]
+                base, at, look = base + meet, until - meet, LOOK * self.width
+            else:  # no boundary is common to all paths yet
+                at, look = until, look + self.width
+            look = max(look, at + self.width)
+        if last[-1] is None:  # equal scores of several pieces: the procedure itself decides
+            yield self.merged(part)
+        else:
+            yield self._path(part, start, len(part))
+
+    def _bpe_steps(self, part: str, begin: int, until: int, last: list[int | None], start: list[int]) -> None:
+        """Goes on from the boundaries begin to until - 1: a boundary keeps the piece that stays apart from the one before."""
+        tree, near, number, size = self.tree, self._near, self.number, len(part)
+        for i in range(begin, until):
+            left = last[i]
             if left is None:
                 continue
-            node, j, place = tree, i, at
-            if bpe:
-                while j < size and (node := node.get(text[j])) is not None:
-                    j += 1
-                    place += 1
-                    if last[place] is None and (piece := node.get("")) is not None:
-                        pair = left << 20 | number[piece]
-                        fits = near.get(pair)
-                        if fits is None:
-                            if len(near) > NEAR:
-                                near.clear()
-                            fits = near[pair] = self.apart(self.named[left], piece)
-                        if fits:
-                            last[place], start[place] = number[piece], at
-                if last[at + 1] is None and text[i] not in scores:  # a character without a piece
-                    last[at + 1], start[at + 1] = 1, at
+            node, j = tree, i
+            while j < size and (node := node.get(part[j])) is not None:
+                j += 1
+                if last[j] is None and (piece := node.get("")) is not None:
+                    pair = left << 20 | number[piece]
+                    fits = near.get(pair)
+                    if fits is None:
+                        if len(near) > NEAR:
+                            near.clear()
+                        fits = near[pair] = self.apart(self.named[left], piece)
+                    if fits:
+                        last[j], start[j] = number[piece], i
+            if last[i + 1] is None and part[i] not in self.scores:  # a character without a piece
+                last[i + 1], start[i + 1] = 1, i
+
+    def _unigram_steps(
+        self, part: str, begin: int, until: int, last: list[int | None], start: list[int], total: list[float]
+    ) -> None:
+        """The same for a unigram model: a boundary keeps the best path."""
+        tree, number, scores, size = self.tree, self.number, self.scores, len(part)
+        for i in range(begin, until):
+            if last[i] is None:
                 continue
-            while j < size and (node := node.get(text[j])) is not None:
+            node, j = tree, i
+            while j < size and (node := node.get(part[j])) is not None:
                 j += 1
-                place += 1
                 piece = node.get("")
-                if piece is not None and (last[place] is None or total[at] + scores[piece] > total[place]):
-                    last[place], start[place], total[place] = number[piece], at, total[at] + scores[piece]
-            if text[i] not in scores and (last[at + 1] is None or total[at] + self.unknown > total[at + 1]):
-                last[at + 1], start[at + 1], total[at + 1] = 1, at, total[at] + self.unknown
-        if last[size - base] is None:  # equal scores of several pieces: the procedure itself decides
-            yield self.merged(text[base:])
-        else:
-            yield self._path(text, start, base, size - base)
+                if piece is not None and (last[j] is None or total[i] + scores[piece] > total[j]):
+                    last[j], start[j], total[j] = number[piece], i, total[i] + scores[piece]
+            if part[i] not in scores and (last[i + 1] is None or total[i] + self.unknown > total[i + 1]):
+                last[i + 1], start[i + 1], total[i + 1] = 1, i, total[i] + self.unknown
 
     @staticmethod
     def _meet(last: list[int | None], start: list[int], at: int) -> int:
@@ -250,10 +267,10 @@ class Pieces:
         return alive.pop() if alive else 0
 
     @staticmethod
-    def _path(text: str, start: list[int], base: int, until: int) -> list[str]:
+    def _path(part: str, start: list[int], until: int) -> list[str]:
         found = []
         while until > 0:
-            found.append(text[base + start[until] : base + until])
+            found.append(part[start[until] : until])
             until = start[until]
         return found[::-1]
 
