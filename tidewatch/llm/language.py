@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,22 +21,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.common import checkpointed
+from tidewatch.llm.common import broadcast_if_small, checkpointed
 
 FOLDS, HELD_OUT = 4, 2
 WORDS, GRAMS, LONGEST = 20_000, 20_000, 5
-WORD = re.compile(r"[^\W\d_]+")
-LONG_WORD = 64
-MEMO = 400_000
+#: What a worker remembers: so many words, each of at most so many letters.
+MEMO, REMEMBERED = 400_000, 64
 UNKNOWN = "und"
 
 
+def _class(*kinds: str) -> str:
+    """All characters of some general categories, as ranges of a character class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    begins = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
+    ends = [c for c, behind in zip(found, [*found[1:], -2]) if c + 1 != behind]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends))
+
+
+#: A letter with the letters and combining marks that follow; numbers and signs are no letters.
+WORD = re.compile(f"[{_class('L')}][{_class('L', 'M')}]*+")
+
+
 def words(text: str) -> list[str]:
-    """Lower-cased runs of letters; a run of more than LONG_WORD letters is cut into pieces of that length."""
-    found = WORD.findall(text.lower())
-    if any(len(w) > LONG_WORD for w in found):
-        found = [w[i : i + LONG_WORD] for w in found for i in range(0, len(w), LONG_WORD)]
-    return found
+    """Lower-cased runs of letters with their marks."""
+    return WORD.findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -116,6 +126,9 @@ class Reader:
 
         class Places(dict):
             def __missing__(self, word: str) -> int:
+                """Place 0 is for words too long to be remembered; their evidence is added by itself."""
+                if len(word) > REMEMBERED:
+                    return 0
                 place = len(self)
                 if place == len(reader.table):
                     reader.table = np.vstack([reader.table, np.zeros_like(reader.table)])
@@ -123,7 +136,7 @@ class Reader:
                 self[word] = place
                 return place
 
-        self.places = Places()
+        self.places = Places({"": 0})
 
     def predict(self, text: str) -> tuple[str, float]:
         found = words(text)
@@ -131,8 +144,12 @@ class Reader:
             return UNKNOWN, 0.0
         if len(self.places) > MEMO:
             self.places.clear()
+            self.places[""] = 0
         rows = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
         total = self.table[rows].sum(axis=0)
+        for word in found:
+            if len(word) > REMEMBERED:
+                total = total + self.model.word(word)
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
@@ -142,23 +159,25 @@ def fold(doc_id: Column) -> Column:
 
 
 def _largest(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent entries, at most `most` of a language: whole levels of an eighth of a
-    doubling, from the top, so that only a few hundred level sizes reach the driver."""
+    """The entries that are among the most frequent of any language, at most `most` of each, with their
+    counts in every language. Levels of an eighth of a doubling are taken whole from the top, so that
+    only a few hundred level sizes reach the driver; of the level that does not fit, the first by a hash."""
     level = F.floor(8 * F.log2("n"))
     sizes: dict[str, list[tuple[int, int]]] = {}
     for lang, at, entries in counts.groupBy("lang", level).count().collect():
         sizes.setdefault(lang, []).append((at, entries))
-    keep = F.lit(False)
+    keep, place = F.lit(False), F.pmod(F.xxhash64("word"), F.lit(1_000_003))
     for lang, levels in sizes.items():
-        total, least = 0, None
+        left, least, share = most, None, 1.0
         for at, entries in sorted(levels, reverse=True):
-            total += entries
-            if total > most:
+            if left <= 0:
                 break
-            least = at
-        if least is not None:
-            keep = keep | ((F.col("lang") == lang) & (level >= least))
-    return counts.where(keep)
+            least, share = at, min(1.0, left / entries)
+            left -= entries
+        whole = (level > least) | ((level == least) & (place < share * 1_000_003))
+        keep = keep | ((F.col("lang") == lang) & whole)
+    kept = counts.where(keep).select("word").distinct()
+    return counts.join(broadcast_if_small(kept, F.octet_length("word") + 64), "word", "left_semi")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
