@@ -46,3 +46,19 @@ def broadcast_if_small(df: DataFrame, size: Column, limit: int = 64 << 20) -> Da
     measured = df.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(df) if measured <= limit else df
 
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each wanted one that no column of `df` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that have one, to order rows that are otherwise alike in the same way in every run."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])

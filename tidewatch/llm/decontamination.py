@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.llm.common import ascii_lower, broadcast_if_small, checkpointed
+from tidewatch.llm.common import ascii_lower, broadcast_if_small, checkpointed, free_names
 
 N = 10
 BLOCK = 4096
@@ -164,34 +164,43 @@ def contamination(
     )
 
 
+def _scanned_texts(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str) -> tuple[Column, DataFrame]:
+    """(the key of a row's text, the rows (doc_id = key, hits) of texts that hold a window)."""
+    digest = F.unhex(F.sha2(docs[f"`{text_col}`"].cast("binary"), 256))
+    texts = docs.select(digest.alias("text_key"), docs[f"`{text_col}`"].alias("text"))
+    hit = scan(texts, benchmark, n, "text_key", "text")[0].where(F.size("hits") > 0)
+    return F.coalesce(digest, F.lit(b"")), hit  # a null text has no words
+
+
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of `docs` without any benchmark window.
 
-    Each row is decided by its own text, known by its digest; ids may be null or repeat."""
-    digest = F.unhex(F.sha2(docs[f"`{text_col}`"].cast("binary"), 256))
-    texts = docs.select(digest.alias("text_key"), docs[f"`{text_col}`"].alias("text"))
-    bad = scan(texts, benchmark, n, "text_key", "text")[0].where(F.size("hits") > 0)
-    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
-    known = F.coalesce(digest, F.lit(b""))  # a null text has no words
-    return docs.withColumn("__text", known).join(bad, F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
+    Each row is decided by its own text, known by its digest; ids may be null or repeat, columns
+    may have any names, an empty table gives no rows."""
+    key, hit = _scanned_texts(docs, benchmark, n, text_col)
+    own, bad = free_names(docs, "own_text", "bad_text")
+    bad_texts = hit.select(F.col("doc_id").alias(bad)).distinct()
+    return docs.withColumn(own, key).join(bad_texts, F.col(own) == F.col(bad), "left_anti").drop(own)
 
 
 def remove_spans(
     docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """All rows of `docs`; in contaminated texts the hit words go, with the separators that follow them.
-
-    Ids must be unique here. Kept words and separators stay as they were."""
-    cuts = scan(docs, benchmark, n, id_col, text_col)[0].where(F.size("hits") > 0)
-    cuts = cuts.select(F.col("doc_id").alias("__cut"), spans().alias("__spans"))
-    rows = docs.join(cuts, docs[f"`{id_col}`"].eqNullSafe(cuts["__cut"]), "left")
+    """All rows of `docs`, one for one; in contaminated texts the hit words go, with the separators that follow them.
+
+    Each row is cut by its own text, known by its digest; ids may be null or repeat, columns may have
+    any names. Kept words and separators stay as they were; a null text stays null."""
+    key, hit = _scanned_texts(docs, benchmark, n, text_col)
+    own, cut, cuts = free_names(docs, "own_text", "cut_text", "cut_spans")
+    found = hit.select(F.col("doc_id").alias(cut), spans().alias(cuts)).dropDuplicates([cut])  # equal texts, equal spans
+    rows = docs.withColumn(own, key).join(found, F.col(own) == F.col(cut), "left")
     piece = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     head = F.regexp_extract(F.col(f"`{text_col}`"), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     kept = F.filter(
         F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(piece), F.lit(0)),
-        lambda _, i: ~F.exists("__spans", lambda s: (i >= s["begin"]) & (i < s["until"])),
+        lambda _, i: ~F.exists(cuts, lambda s: (i >= s["begin"]) & (i < s["until"])),
     )
-    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(head, F.array_join(kept, "")))
-    return rows.withColumn(text_col, text).drop("__cut", "__spans")
+    text = F.when(F.col(cuts).isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(head, F.array_join(kept, "")))
+    return rows.withColumn(text_col, text).drop(own, cut, cuts)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewatch.llm.common import ascii_lower, checkpointed
+from tidewatch.llm.common import ascii_lower, checkpointed, free_names, row_hash
 
 PREFIX = 32
 EDGES = 1 << 20
@@ -131,13 +131,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    Rows are matched by id (nulls match) and, where an id repeats, by their digest."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
-    digest = F.sha2(F.coalesce(ascii_lower(docs[f"`{text_col}`"]), F.lit("")).cast("binary"), 256)
-    marked = docs.select("*", digest.alias("__digest"))
-    same = marked[f"`{id_col}`"].eqNullSafe(kept["doc_id"]) & (marked["__digest"] == kept["text_sha256"])
+    Rows are matched by id (nulls match) and, where an id repeats, by their digest; of rows that
+    share both the one with the smallest hash of all columns stays. Columns may have any names."""
+    digest, place, keep, text = free_names(docs, "digest", "place", "keep_id", "keep_text")
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    kept = kept.select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(text))
+    own = F.sha2(F.coalesce(ascii_lower(docs[f"`{text_col}`"]), F.lit("")).cast("binary"), 256)
+    marked = docs.withColumn(digest, own)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(text))
     rows = marked.join(kept, same, "left_semi")
-    again = Window.partitionBy(F.col(f"`{id_col}`"), F.col("__digest")).orderBy(F.lit(0))
-    rows = rows.withColumn("__again", F.row_number().over(again)).where("__again = 1")
-    return rows.drop("__digest", "__again")
-
+    again = Window.partitionBy(F.col(f"`{id_col}`"), F.col(digest)).orderBy(row_hash(docs))
+    return rows.withColumn(place, F.row_number().over(again)).where(F.col(place) == 1).drop(digest, place)

@@ -19,9 +19,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.llm.common import checkpointed
+from tidewatch.llm.common import checkpointed, free_names, row_hash
 from tidewatch.llm.components import connected
 
 SHINGLE = 3
@@ -178,6 +178,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     found = checkpointed(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, key binary"))
     first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "key")).alias("first")
-    kept = found.join(_components(found), "fp").groupBy("label").agg(first).select(F.col("first.key").alias("__key"))
-    marked = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
-    return marked.dropDuplicates(["__key"]).drop("__key")
+    own, best, place = free_names(docs, "own_key", "best_key", "place")
+    kept = found.join(_components(found), "fp").groupBy("label").agg(first).select(F.col("first.key").alias(best))
+    marked = docs.withColumn(own, key).join(kept, F.col(own) == F.col(best), "left_semi")
+    again = Window.partitionBy(own).orderBy(row_hash(docs))  # rows that share id and text: always the same one stays
+    return marked.withColumn(place, F.row_number().over(again)).where(F.col(place) == 1).drop(own, place)

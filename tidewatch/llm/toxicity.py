@@ -198,9 +198,10 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
-    """A model from at most about `sample` labelled documents of each class (chosen by a hash of
-    the id, texts beyond LONGEST bytes left out) whose fold is not the held-out one.
+def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, longest: int = LONGEST) -> Model:
+    """A model from a bounded sample of the labelled documents whose fold is not the held-out one: at
+    most about `sample` ids of each class, chosen by a hash, twice as many rows in all where ids
+    repeat, and no text of more than `longest` bytes.
 
     Rows without an id or label teach nothing; of several labels of an id the largest counts."""
     sample = sample or SAMPLE
@@ -212,8 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, most / max(1, sizes.get(label, 1))))).otherwise(share)
     # About as many rows as `sample` names, of two numbers each: small enough to broadcast at any size.
     known = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(f"octet_length(text) <= {LONGEST}")
-    rows = texts.join(known, "doc_id").select("toxic", "text").collect()  # bounded by `sample`
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    drawn = texts.join(known, "doc_id").orderBy(F.xxhash64("doc_id", "text"), "text").limit(2 * sum(sample.values()))
+    rows = drawn.select("toxic", "text").collect()  # bounded by `sample`
     rows.sort()
     return fit_texts([t for x, t in rows if x == 1], [t for x, t in rows if x == 0])
 
