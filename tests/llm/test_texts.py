@@ -111,6 +111,8 @@ def test_pieces_over_a_table(spark, docs):
     assert len(got) == 5 and all(r["text"] == r["back"] for r in got)
     assert next(r for r in got if r["doc_id"] == 2)["ids"] == []
     assert pieces.encoded(rows.limit(0), model).count() == 0
+    checked = pieces.encoded(rows.withColumn("same", F.lit(1)), model, check_col="same")
+    assert checked.columns == [*rows.drop("ids").columns, "ids", "same"] and all(r["same"] for r in checked.collect())
 
 
 # --- toxicity -----------------------------------------------------------------------------------

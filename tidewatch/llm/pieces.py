@@ -26,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as spm
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -325,24 +325,37 @@ def _with(rows: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*rows.schema.fields, StructField(name, kind, True)])
 
 
-def encoded(docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encoded(
+    docs: DataFrame, proto: bytes, text_col: str = "text", out_col: str = "ids", check_col: str | None = None
+) -> DataFrame:
     """All rows and columns of `docs` with one more: the ids of the whole text (null for null).
 
-    An empty text has no ids. A column that is already called `out_col` is replaced."""
-    rest = docs.drop(out_col) if out_col in docs.columns else docs
+    With `check_col` the ids are decoded again in the same pass, and one more column tells whether
+    they gave the text back (true for null). An empty text has no ids, rows that repeat stay, an
+    empty table gives no rows. Columns that are already called so are replaced."""
+    added = [out_col] + ([check_col] if check_col else [])
+    rest = docs.drop(*[c for c in added if c in docs.columns])
     at = rest.columns.index(text_col)
+    schema = _with(rest, out_col, ArrayType(IntegerType()))
+    if check_col:
+        schema = StructType([*schema.fields, StructField(check_col, BooleanType(), True)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(proto)
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                texts = part.column(at)
-                ids = [None if not t.is_valid else np.array(pieces.encode(t.as_py()), np.int32) for t in texts]
-                columns = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, out_col])
-
-    return rest.mapInArrow(encode, _with(rest, out_col, ArrayType(IntegerType())))
+                ids, same = [], []
+                for value in part.column(at):
+                    text = value.as_py()
+                    found = None if text is None else pieces.encode(text)
+                    ids.append(None if found is None else np.array(found, np.int32))
+                    if check_col:
+                        same.append(found is None or pieces.decode(found) == text)
+                columns = [*part.columns, pa.array(ids, pa.list_(pa.int32()))] + ([pa.array(same, pa.bool_())] if check_col else [])
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *added])
+
+    return rest.mapInArrow(encode, schema)
 
 
 def round_trips(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
