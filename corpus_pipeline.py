@@ -31,8 +31,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their whole texts."""
-    return pieces.encoded(docs, pieces.read_model())
+    """The documents with the ids of their whole texts, and whether the ids, decoded, gave the text back."""
+    return pieces.encoded(docs, pieces.read_model(), check_col="round_trip")
 
 
 STAGES = [
@@ -48,6 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, one row each, with ids and round_trip beside their own columns.
+
+    Null texts and ids, repeated rows and empty tables go through every stage as its operator's
+    docstring says; columns of any name stay."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
