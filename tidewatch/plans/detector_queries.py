@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, splits, thresholds, vibration
+from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, scan, scoring, splits, thresholds, vibration
 from tidewatch.operators.detectors.base import mean_and_cov
 from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, store, tuning
 from tidewatch.plans import retraining
@@ -13,7 +15,7 @@ from tidewatch.plans.base import fragment, r, rsql, scaled, stored_grid, with_ct
 from tidewatch.plans.evaluation_queries import feature_store, model_scores
 from tidewatch.plans.operations_queries import readings_table, registry_table
 from tidewatch.plans.store import stored
-from tidewatch.session import scratch_path
+from tidewatch.session import materialize, scratch_path
 from tidewatch.sources.files import classify_images
 from tidewatch.sources.series import table
 
@@ -593,33 +595,113 @@ def fault_types(spark, sf):
     return fault_schedule(spark, sf).groupBy(kind, kind.isin(*faults.FAULT_TYPES).alias("known")).agg(F.count("*").alias("n"))
 
 
+# ---- leaderboard ----------------------------------------------------------------
+
+# fixed values: an incident is a reading beyond this share of its sensor's, and lasts some minutes
+INCIDENT_SHARE, INCIDENT_MINUTES = 0.995, 25
+
+
+def incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """(sensor_id, start, end): what the values themselves show, so that labels say something about the features."""
+    rows = stored_grid(spark, sf)
+    limits = scan.exact_quantiles(rows, ["sensor_id"], "value", [INCIDENT_SHARE]).select("sensor_id", "quantile")
+    beyond = rows.where("imputed = 0").join(limits, "sensor_id").where(F.col("value") > F.col("quantile"))
+    return beyond.select("sensor_id", F.col("ts").alias("start"), (F.col("ts") + F.expr(f"INTERVAL {INCIDENT_MINUTES} MINUTES")).alias("end"))
+
+
+INCIDENT_SQL = f"""inc AS (
+      SELECT g.sensor_id, g.ts AS s, g.ts + INTERVAL {INCIDENT_MINUTES} MINUTES AS e FROM grid g
+      JOIN (SELECT sensor_id, quantile_cont(value, {INCIDENT_SHARE}) AS q FROM grid GROUP BY 1) USING (sensor_id) WHERE imputed = 0 AND value > q)"""
+
+
+@query(
+    "incident_labels",
+    with_ctes(
+        ["labelled"],
+        f""", {INCIDENT_SQL}
+        SELECT sensor_id, pos, CASE WHEN EXISTS (SELECT 1 FROM inc WHERE inc.sensor_id = l.sensor_id AND l.ts BETWEEN s AND e) THEN 1 ELSE 0 END AS label
+        FROM labelled l""",
+    ),
+)
+def incident_labels(spark, sf):
+    """Every reading with the label of the incidents around it."""
+    return splits.label_from_table(stored_grid(spark, sf), incidents(spark, sf)).select(*ROW, "label")
+
+
+def with_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.label_from_table(complete(spark, sf).drop("label"), incidents(spark, sf))
+
+
 @query("evaluation_all_detectors")
 def evaluate_detectors(spark, sf):
-    """One ranked row per detector on the same test rows, thresholds from validation."""
+    """One ranked row per detector on the same test rows, thresholds from validation, with the cost of scoring."""
     return stored(spark, sf, "leaderboard", lambda: leaderboard(spark, sf))
 
 
-def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    rows = complete(spark, sf)
-    train, held = splits.normal_rows(rows), rows.where("split <> 'train'")
+BASELINE_NAME = "Rolling Z-score (Baseline)"
+
+
+def fitted_detectors(spark: SparkSession, rows: DataFrame) -> dict[str, object]:
+    train = splits.normal_rows(rows)
     fitted = {
         "Isolation Forest": isolation.fit(train, features.FEATURES, ROW),
         "Half-space Trees (Online)": halfspace.fit(train, features.FEATURES, ["ts", "sensor_id"]),
         "Elliptic Envelope": envelope.fit(train, features.FEATURES, ROW),
         "One-class SVM": oneclass.fit(train, features.FEATURES),
-        "Local Outlier Factor": neighbours.fit(train, features.FEATURES, 20),
+        "Local Outlier Factor": neighbours.fit(train, features.FEATURES, 20, recall=0.95),
     }
-    columns = [*ROW, "split", "label"]
-    long = held.select(F.lit("Rolling Z-score (Baseline)").alias("model"), *columns, F.abs("zscore_15").alias("score"))
-    for name, model in fitted.items():
-        if model is not None:
-            long = long.unionByName(model.transform(held).select(F.lit(name).alias("model"), *columns, "score"))
-    windows = sequence.sequences(rows, features.FEATURES, ["sensor_id"])
-    linear = sequence.fit(splits.normal_rows(windows), len(features.FEATURES)).transform(windows.where("split <> 'train'"))
-    long = long.unionByName(linear.select(F.lit("Sequence Reconstruction").alias("model"), *columns, "score"))
-    long = stored(spark, sf, "detector_scores", lambda: long)
+    return {name: model for name, model in fitted.items() if model is not None}
+
+
+def detector_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(model, row, split, label, score) of all detectors on validation and test rows, and (model, ms_per_row):
+    the wall time in which each scored its rows to a stored table, over their number."""
+    root = scratch_path(spark, "detector-scores")
+
+    def build() -> DataFrame:
+        rows = materialize(with_incidents(spark, sf), "incident-rows")
+        held = rows.where("split <> 'train'")
+        columns = [*ROW, "split", "label", "score"]
+        jobs = {BASELINE_NAME: held.withColumn("score", F.abs("zscore_15"))}
+        jobs |= {name: model.transform(held) for name, model in fitted_detectors(spark, rows).items()}
+        windows = materialize(sequence.sequences(rows, features.FEATURES, ["sensor_id"]), "incident-windows")
+        coder = sequence.fit(splits.normal_rows(windows), len(features.FEATURES))
+        jobs["Sequence Reconstruction"] = coder.transform(windows.where("split <> 'train'"))
+        costs = []
+        for i, (name, scored) in enumerate(jobs.items()):  # a few detectors
+            begun = time.perf_counter()
+            scored.select(F.lit(name).alias("model"), *columns).write.parquet(f"{root}/detector={i}")
+            costs.append((name, 1000 * (time.perf_counter() - begun)))
+        spark.createDataFrame(costs, "model string, ms double").write.parquet(f"{root}-costs")
+        return spark.read.parquet(root).drop("detector").join(spark.read.parquet(f"{root}-costs"), "model")
+
+    both = stored(spark, sf, "detector_scores", build)
+    costs = both.groupBy("model").agg((F.max("ms") / F.count("*")).alias("ms_per_row"))
+    return both.drop("ms"), costs
+
+
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    long, costs = detector_scores(spark, sf)
     limits = thresholds.best_linear(long.where("split = 'val'"), ["model"]).select("model", "threshold")
     preds = long.where("split = 'test'").join(limits, "model").withColumn(
         "pred", (F.col("score") > F.col("threshold")).cast("int")
     )
-    return evaluate.rank_models(evaluate.evaluation(preds))
+    results = evaluate.evaluation(preds).join(costs, "model").withColumnRenamed("ms_per_row", "avg_inference_ms")
+    results = results.withColumn("throughput_rps", F.lit(1000.0) / (F.col("avg_inference_ms") + F.lit(evaluate.EPS)))
+    return evaluate.rank_models(results)
+
+
+@query("ensemble_of_detectors")
+def detectors_vote(spark, sf):
+    """Votes of all detectors on every test reading, each at the threshold its validation rows chose."""
+    long, _ = detector_scores(spark, sf)
+    limits = {
+        row["model"]: row["threshold"]
+        for row in thresholds.best_linear(long.where("split = 'val'"), ["model"]).select("model", "threshold").collect()  # one each
+    }
+    names = {model: f"score_{i}" for i, model in enumerate(sorted(limits))}
+    wide = long.where("split = 'test'").groupBy(*ROW, "label").agg(
+        *[F.max(F.when(F.col("model") == model, F.col("score"))).alias(column) for model, column in names.items()]
+    )
+    voted = scoring.ensemble_vote(wide, {model: (column, limits[model]) for model, column in names.items()})
+    return voted.select(*ROW, "label", "votes", "total_models", "ensemble_confidence", "is_anomaly", "message", "model_details")
