@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewatch.operators.clean import floor_div
+
 BINS = 10
 SPAN = 3.0
 FLOOR = 1e-6
@@ -122,6 +126,11 @@ def roll_up(per_feature: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(hit)).alias("hits"),  # at most one entry per contract feature
         F.max("n").alias("n_rows"),
     )
+    return _reported(rolled, keys)
+
+
+def _reported(rolled: DataFrame, keys: list[str]) -> DataFrame:
+    """The report of (keys, level, psi, mean_shift_sigma, hits, n_rows)."""
     waiting = F.col("n_rows") < MIN_ROWS
     worst = F.element_at(F.array(F.lit("stable"), F.lit("warning"), F.lit("critical")), F.col("level") + 1)
     advice = F.element_at(
@@ -166,6 +175,68 @@ def over_time(df: DataFrame, stats: Stats, width: str = "1 day") -> DataFrame:
     return feature_drift(keyed, ["window_start", "sensor_id"], stats)
 
 
+#: Rows of a group whose live windows are worked out together; each group also holds the window before it.
+STRETCH = 2048
+
+
+def at_every_reading(df: DataFrame, stats: Stats, size: int = LIVE_ROWS, stretch: int = STRETCH) -> DataFrame:
+    """The report (sensor_id, pos, ...) that a check after each reading would give: over the newest `size` rows up to it.
+
+    Input: sensor_id, pos (dense per sensor) and the features. Groups are stretches of a sensor's rows with the `size` - 1
+    rows before them as a halo, so a hot sensor is many groups. In a group bins are counted once, as prefix sums; a
+    window's histogram is the difference of two of them."""
+    names = [s[0] for s in stats]
+    mean, std = (np.array([s[i] if s[i] is not None else np.nan for s in stats], float) for i in (1, 2))
+    expected = np.maximum(normal_shares(), FLOOR)
+    home = floor_div(F.col("pos"), stretch)
+    last = floor_div(F.col("pos") + (size - 1), stretch)
+    kind = dict(df.dtypes)["sensor_id"]
+    sent = df.select("sensor_id", "pos", F.array(*[F.col(c).cast("double") for c in names]).alias("x"), F.explode(F.sequence(home, last)).alias("stretch"))
+
+    def windows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos", kind="stable")
+        pos, x = group["pos"].to_numpy(), np.stack([np.asarray(v, float) for v in group["x"]])
+        own = np.flatnonzero(pos // stretch == key[1])
+        if not len(own):  # only the halo of a stretch that has not begun
+            kinds = {"sensor_id": object, "pos": int, "n_rows": int, "level": int, "psi": float, "mean_shift_sigma": float, "hits": object}
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+        there = ~np.isnan(x)
+        low = mean - SPAN * std
+        width = (mean + SPAN * std - low) / BINS
+        bins = (x[:, :, None] >= low[:, None] + width[:, None] * np.arange(1, BINS)).sum(2)
+        counts = np.zeros((len(x) + 1, len(names), BINS), np.int64)
+        np.cumsum((bins[:, :, None] == np.arange(BINS)) & there[:, :, None], axis=0, out=counts[1:])
+        sums = np.zeros((len(x) + 1, len(names)))
+        np.cumsum(np.where(there, x - mean, 0.0), axis=0, out=sums[1:])  # around the mean: nothing large is taken off again
+        before = np.searchsorted(pos, pos[own] - size + 1)
+        inside = counts[own + 1] - counts[before]
+        n = inside.sum(2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            actual = np.maximum(inside / n[:, :, None], FLOOR)
+            index = np.where((std > 0) & (n > 0), ((actual - expected) * np.log(actual / expected)).sum(2), np.nan)
+            shift = (sums[own + 1] - sums[before]) / n / (std + EPS)
+        p, far = np.nan_to_num(index), np.nan_to_num(np.abs(shift))
+        level = np.where((p >= 0.25) | (far >= 3.0), 2, np.where((p >= 0.1) | (far >= 2.0), 1, 0))
+        place = far.argmax(1)
+        return pd.DataFrame(
+            {
+                "sensor_id": group["sensor_id"].to_numpy()[own],
+                "pos": pos[own],
+                "n_rows": n.max(1),
+                "level": level.max(1),
+                "psi": np.maximum(p.max(1), 0.0),
+                "mean_shift_sigma": shift[np.arange(len(own)), place],
+                "hits": [np.flatnonzero(row).astype(np.int32) for row in level],
+            }
+        )
+
+    schema = f"sensor_id {kind}, pos bigint, n_rows bigint, level int, psi double, mean_shift_sigma double, hits array<int>"
+    rolled = sent.groupBy("sensor_id", "stretch").applyInPandas(windows, schema)
+    named = F.array(*[F.lit(name) for name in names])
+    rolled = rolled.withColumn("hits", F.transform("hits", lambda i: F.struct(i.alias("ord"), F.get(named, i).alias("feature"))))
+    return _reported(rolled.where("n_rows > 0"), ["sensor_id", "pos"])
+
+
 def append_history(history: DataFrame, new: DataFrame, ties: list[str] | None = None, keep: int = HISTORY) -> DataFrame:
     """The newest `keep` status rows."""
     both = history.unionByName(new)

@@ -128,6 +128,29 @@ def drift_check(spark, sf):
     return flat_status(out, ["sensor_id"])
 
 
+_psi = " + ".join(
+    f"(greatest(b{k} / n::DOUBLE, 1e-6) - greatest({e!r}::DOUBLE, 1e-6)) * ln(greatest(b{k} / n::DOUBLE, 1e-6) / greatest({e!r}::DOUBLE, 1e-6))"
+    for k, e in enumerate(drift.normal_shares())
+)
+fragment(
+    "moving_drift",
+    f"""SELECT sensor_id, pos, feature, ord, n, psi, shift,
+               CASE WHEN psi >= 0.25 OR abs(shift) >= 3 THEN 'critical' WHEN psi >= 0.1 OR abs(shift) >= 2 THEN 'warning' ELSE 'stable' END AS status
+        FROM (SELECT *, {_psi} AS psi FROM (
+          SELECT sensor_id, pos, feature, ord, count(*) OVER w AS n, (avg(v - mean) OVER w) / (std + 1e-9) AS shift,
+                 {", ".join(f"sum(CASE WHEN bin = {k} THEN 1 ELSE 0 END) OVER w AS b{k}" for k in range(drift.BINS))}
+          FROM binned WINDOW w AS (PARTITION BY sensor_id, feature ORDER BY pos RANGE BETWEEN 499 PRECEDING AND CURRENT ROW)))""",
+    "binned",
+)
+
+
+@query("drift_at_every_reading", with_ctes(["moving_drift"], ROLL_UP.format(keys="sensor_id, pos", source="moving_drift")))
+def drift_moving(spark, sf):
+    """What a check after every reading would have said, per sensor."""
+    rows = feature_store(spark, sf).where("pos >= 0")
+    return flat_status(drift.at_every_reading(rows, stats_list(spark, sf)), ["sensor_id", "pos"])
+
+
 fragment(
     "all_binned",
     """SELECT 'all' AS scope, * FROM binned
