@@ -47,6 +47,15 @@ TRIP = pa.schema(
 NORMAL, BYTE, BPE, UNIGRAM = 1, 6, 2, 1
 
 
+class Memo(dict):
+    """Ids by stretch; what is missing is looked for by `find`."""
+
+    older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        return self.find(text)
+
+
 class Pieces:
     """A lossless SentencePiece vocabulary with byte pieces."""
 
@@ -71,20 +80,19 @@ class Pieces:
         ]
         self.width = max(map(len, self.ids))
         self.unknown = min(self.scores.values(), default=0.0) - 10
-        self.tree: dict = {}  # a piece's characters one by one; its own text stands under the key ""
-        for piece in self.ids:
+        self.named = ["", "", *self.ids]  # pieces by number; 0: begin, 1: a character without a piece
+        self.tree: dict = {}  # a piece's characters one by one; its number stands under the key ""
+        for number, piece in enumerate(self.ids, 2):
             node = self.tree
             for char in piece:
                 node = node.setdefault(char, {})
-            node[""] = piece
-        self.number = {piece: k for k, piece in enumerate(self.ids, 2)}  # 0: begin, 1: a character without a piece
-        self.named = ["", "", *self.ids]
+            node[""] = number
         self._near: dict[int, bool] = {}
         self.stretches = re.compile(self._stretch_pattern()).findall
         self._fit: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str]] = {}
-        self._memo: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        self._memo = Memo()
+        self._memo.find = self._stretch
 
     def _stretch_pattern(self) -> str:
         """Stretches no piece crosses the end of: they end before a space mark, around a character
@@ -219,7 +227,7 @@ class Pieces:
 
     def _bpe_steps(self, part: str, begin: int, until: int, last: list[int | None], start: list[int]) -> None:
         """Goes on from the boundaries begin to until - 1: a boundary keeps the piece that stays apart from the one before."""
-        tree, near, number, size = self.tree, self._near, self.number, len(part)
+        tree, near, size = self.tree, self._near, len(part)
         for i in range(begin, until):
             left = last[i]
             if left is None:
@@ -227,15 +235,15 @@ class Pieces:
             node, j = tree, i
             while j < size and (node := node.get(part[j])) is not None:
                 j += 1
-                if last[j] is None and (piece := node.get("")) is not None:
-                    pair = left << 20 | number[piece]
+                if last[j] is None and (number := node.get("")) is not None:
+                    pair = left << 20 | number
                     fits = near.get(pair)
                     if fits is None:
                         if len(near) > NEAR:
                             near.clear()
-                        fits = near[pair] = self.apart(self.named[left], piece)
+                        fits = near[pair] = self.apart(self.named[left], self.named[number])
                     if fits:
-                        last[j], start[j] = number[piece], i
+                        last[j], start[j] = number, i
             if last[i + 1] is None and part[i] not in self.scores:  # a character without a piece
                 last[i + 1], start[i + 1] = 1, i
 
@@ -243,16 +251,16 @@ class Pieces:
         self, part: str, begin: int, until: int, last: list[int | None], start: list[int], total: list[float]
     ) -> None:
         """The same for a unigram model: a boundary keeps the best path."""
-        tree, number, scores, size = self.tree, self.number, self.scores, len(part)
+        tree, named, scores, size = self.tree, self.named, self.scores, len(part)
         for i in range(begin, until):
             if last[i] is None:
                 continue
             node, j = tree, i
             while j < size and (node := node.get(part[j])) is not None:
                 j += 1
-                piece = node.get("")
-                if piece is not None and (last[j] is None or total[i] + scores[piece] > total[j]):
-                    last[j], start[j], total[j] = number[piece], i, total[i] + scores[piece]
+                number = node.get("")
+                if number is not None and (last[j] is None or total[i] + scores[named[number]] > total[j]):
+                    last[j], start[j], total[j] = number, i, total[i] + scores[named[number]]
             if part[i] not in scores and (last[i + 1] is None or total[i] + self.unknown > total[i + 1]):
                 last[i + 1], start[i + 1], total[i + 1] = 1, i, total[i] + self.unknown
 
@@ -275,23 +283,22 @@ class Pieces:
         return found[::-1]
 
     def _stretch(self, text: str) -> tuple[int, ...]:
-        known = self._memo.get(text)
-        if known is not None:
-            return known
-        known = self._older.get(text)
-        if known is not None:
-            self._memo[text] = known
-            return known
-        out: list[int] = []
-        for pieces in self.search(text):
-            for piece in pieces:
-                number = self.ids.get(piece)
-                out.extend([number] if number is not None else [self.bytes[b] for b in piece.encode()])
+        """Ids of a stretch that is not remembered; two generations are, so that what is met again stays."""
+        memo = self._memo
+        found = memo.older.get(text)
+        if found is None:
+            out: list[int] = []
+            for pieces in self.search(text):
+                for piece in pieces:
+                    number = self.ids.get(piece)
+                    out.extend([number] if number is not None else [self.bytes[b] for b in piece.encode()])
+            found = tuple(out)
         if len(text) <= REMEMBERED:
-            if len(self._memo) > MEMO:  # two generations: what is met again stays
-                self._older, self._memo = self._memo, {}
-            self._memo[text] = tuple(out)
-        return tuple(out)
+            if len(memo) > MEMO:
+                memo.older = dict(memo)
+                memo.clear()
+            memo[text] = found
+        return found
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -301,7 +308,7 @@ class Pieces:
             if k:
                 out.extend(self.bytes[b] for b in MARK.encode())
             marked = (self.prefix if not k else "") + part.replace(" ", MARK)
-            out.extend(chain.from_iterable(map(self._stretch, self.stretches(marked))))
+            out.extend(chain.from_iterable(map(self._memo.__getitem__, self.stretches(marked))))
         return out
 
     def decode(self, ids: list[int]) -> str:
