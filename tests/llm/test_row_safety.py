@@ -88,6 +88,12 @@ def test_words_keep_their_marks_and_length():
     assert language.words("हिन्दी été a1b " + "x" * 500) == ["हिन्दी", "été", "a", "b", "x" * 500]
 
 
+def test_both_word_patterns_agree():
+    latin, any_text = language._patterns()
+    text = "".join(map(chr, range(256))) + " aéb1c_d·eªµºx×y÷z"
+    assert latin(text) == any_text(text) and latin("aéb1c_d") == ["aéb", "c", "d"]
+
+
 def test_a_long_word_counts_as_its_grams_do():
     model = language.Model(["x", "y"], {}, {"q": [0.0, 0.3]})
     reader = language.Reader(model)

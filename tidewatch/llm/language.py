@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,27 @@ MEMO, REMEMBERED = 400_000, 64
 UNKNOWN = "und"
 
 
-def _class(*kinds: str) -> str:
-    """All characters of some general categories, as ranges of a character class."""
-    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+def _class(kinds: str, until: int = sys.maxunicode + 1) -> str:
+    """All characters below `until` of some general categories, as ranges of a character class."""
+    found = [c for c in range(until) if unicodedata.category(chr(c))[0] in kinds]
     begins = [c for c, before in zip(found, [-2, *found]) if c != before + 1]
     ends = [c for c, behind in zip(found, [*found[1:], -2]) if c + 1 != behind]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends))
 
 
-#: A letter with the letters and combining marks that follow; numbers and signs are no letters.
-WORD = re.compile(f"[{_class('L')}][{_class('L', 'M')}]*+")
+@lru_cache(maxsize=1)
+def _patterns() -> tuple:
+    """Finders of words: a letter with the letters and combining marks that follow; numbers and signs are no letters.
+
+    The first is for texts of Latin-1, which has no marks: the same with a small character class."""
+    return re.compile(f"[{_class('L', 256)}]+").findall, re.compile(f"[{_class('L')}][{_class('LM')}]*+").findall
 
 
 def words(text: str) -> list[str]:
     """Lower-cased runs of letters with their marks."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    latin, any_text = _patterns()
+    return latin(text) if len(text.encode("latin-1", "ignore")) == len(text) else any_text(text)
 
 
 def grams(word: str, n: int) -> list[str]:
