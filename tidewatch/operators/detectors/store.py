@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, probing, sequence
+from tidewatch.operators.detectors import autoencoder, envelope, halfspace, isolation, neighbours, oneclass, probing, sequence
 from tidewatch.operators.detectors.base import Model
 from tidewatch.sources.files import version_path
 
@@ -23,6 +23,7 @@ KINDS = {
     for kind in (
         isolation.ForestModel, halfspace.HalfSpaceModel, halfspace.Trees, envelope.EnvelopeModel,
         oneclass.OneClassModel, neighbours.LofModel, probing.Index, sequence.SequenceModel,
+        autoencoder.AutoencoderModel,
     )
 }
 FIELDS = "field string, kind string, shape array<int>, numbers array<double>, text string"

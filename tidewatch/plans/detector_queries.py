@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, clean, embeddings, evaluate, faults, features, scan, scoring, splits, thresholds, vibration
 from tidewatch.operators.detectors.base import mean_and_cov
-from tidewatch.operators.detectors import envelope, halfspace, isolation, neighbours, oneclass, sequence, store, tuning
+from tidewatch.operators.detectors import autoencoder, envelope, halfspace, isolation, neighbours, oneclass, sequence, store, tuning
 from tidewatch.plans import retraining
 from tidewatch.plans.base import fragment, r, rsql, scaled, stored_grid, with_ctes
 from tidewatch.plans.evaluation_queries import feature_store, model_scores
@@ -200,6 +200,14 @@ def reconstruction(spark, sf):
     return model.transform(rows.where("split = 'test'")).select(*ROW, "label", "score")
 
 
+@query("sequence_autoencoder")
+def curved_reconstruction(spark, sf):
+    """The same by a non-linear autoencoder."""
+    rows = materialize(sequence.sequences(complete(spark, sf), features.FEATURES, ["sensor_id"]), "autoencoder-windows")
+    model = autoencoder.fit(splits.normal_rows(rows), len(features.FEATURES))
+    return model.transform(rows.where("split = 'test'")).select(*ROW, "label", "score")
+
+
 @query(
     "contamination_offset",
     with_ctes(
