@@ -226,6 +226,32 @@ def kpis_append(spark, sf):
     return spark.read.schema(stats.schema).parquet(out).withColumn("mean_value", r("mean_value"))
 
 
+def appended_kpis(spark: SparkSession, sf: str, width: str, slide: str | None = None) -> DataFrame:
+    """Append mode: windows leave the state, and are written, once the watermark has passed them."""
+    out = scratch_path(spark, "kpis")
+    stats = scoring.running_kpis(event_stream(spark, sf), width, slide, hit=F.col("value") > 150)
+    scoring.run_available(stats, scratch_path(spark, "kpi-stream"), out)
+    return spark.read.schema(stats.schema).parquet(out).withColumn("mean_value", r("mean_value"))
+
+
+CLOSED_WINDOWS = "window_start + INTERVAL {width} <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"
+
+
+@query("stream_kpis_minute_append", f"SELECT * FROM ({kpi_sql('1 MINUTE')}) WHERE {CLOSED_WINDOWS.format(width='1 MINUTE')}")
+def kpis_minute_append(spark, sf):
+    return appended_kpis(spark, sf, "1 minute")
+
+
+SLIDING_SQL = """SELECT w AS window_start, count(*) AS n, count(*) FILTER (value > 150) AS anomalies, round(avg(value), 6) + 0.0::DOUBLE AS mean_value
+       FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS w FROM events)
+       GROUP BY 1"""
+
+
+@query("stream_kpis_sliding_append", f"SELECT * FROM ({SLIDING_SQL}) WHERE {CLOSED_WINDOWS.format(width='1 HOUR')}")
+def kpis_sliding_append(spark, sf):
+    return appended_kpis(spark, sf, "1 hour", "30 minutes")
+
+
 @query("stream_kpis_minute", kpi_sql("1 MINUTE"))
 def kpis_minute(spark, sf):
     return drained_kpis(spark, sf, "1 minute")
