@@ -57,6 +57,31 @@ def test_of_rows_alike_the_same_one_stays_in_every_run(spark, drop):
     assert len(kept) == 1
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7])
+def test_long_runs_are_cut_into_pieces(spark, monkeypatch, piece):
+    rows = [(None if i % 3 else i, "Same text") for i in range(60)] + [(i, f"text {i % 9}") for i in range(40)] + [(None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    whole = sorted(map(tuple, exact_dedup.exact_duplicates(table).collect()), key=str)
+    held = []
+    add = exact_dedup._Runs.add
+
+    def watched(self, *row):
+        add(self, *row)
+        held.append(max((len(ids) for _, ids in self.runs), default=0))
+
+    monkeypatch.setattr(exact_dedup, "PIECE", piece)
+    monkeypatch.setattr(exact_dedup._Runs, "add", watched)
+    cut = exact_dedup._Runs(0)
+    for k in range(50):
+        cut.add((b"a", 1), b"a", 50 - k)
+    cut.flush(edge=True)
+    assert max(held) <= piece and len(cut.out) == 50 and {row[1] for row in cut.out if row[3]} >= {50}
+    group = exact_dedup.exact_duplicates(table).where("text_sha256 = sha2('same text', 256)").collect()
+    assert len(group) == 60 and {r["group_size"] for r in group} == {60} and {r["keep_id"] for r in group} == {57}
+    assert sum(r["kept"] for r in group) == 1
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(table).collect()), key=str) == whole
+
+
 def test_contaminated_rows_go_with_clashing_columns(spark, crowded):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     found = decontamination.drop_contaminated(crowded([(1, LONG), (1, "clean"), (None, None)]), bench).collect()

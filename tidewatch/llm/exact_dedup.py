@@ -2,11 +2,11 @@
 
 Normalised bytes are dealt by sampled splitters (`repartitionByRange`) and sorted in
 each partition by Spark's external sort, so equal texts are neighbours. Splitters are
-short: a prefix, a 64-bit hash and the document's id, so the driver holds no texts
-and a group of a third of all rows spreads over as many partitions as its rows need.
-One pass over each sorted partition compares whole neighbouring texts. Runs that
+short: a prefix, a 64-bit hash, the document's id and its row's number, so the driver holds no
+texts and a group of a third of all rows, with ids or without, spreads over as many partitions
+as its rows need. One pass over each sorted partition compares whole neighbouring texts. Runs that
 touch a partition's edge (two keys a partition at most) are joined across partitions
-by their whole text.
+by their whole text, and so are the pieces of a run that is too long to be held.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidewatch.llm.common import ascii_lower, checkpointed, free_names, row_hash
 
 PREFIX = 32
 EDGES = 1 << 20
+#: Ids of one text that are held at once.
+PIECE = 1 << 16
 ROWS = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -47,23 +49,26 @@ def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Runs:
-    """Runs of equal texts in one sorted partition; holds ids of the current sort key only."""
+    """Runs of equal texts in one sorted partition; holds at most PIECE ids of a text, of the current sort key only."""
 
     def __init__(self, partition: int):
         self.partition, self.edges = partition, 0
-        self.key, self.first = None, True
+        self.key, self.first, self.cut = None, True, False
         self.runs: list[tuple[bytes, list]] = []
         self.out: list[tuple] = []
 
     def add(self, key, norm: bytes, doc_id) -> None:
         if key != self.key:
-            self.flush(edge=self.first)
-            self.first = self.key is None
+            self.flush(edge=self.first or self.cut)
+            self.first, self.cut = self.key is None, False
             self.key, self.runs = key, []
         if self.runs and self.runs[-1][0] == norm:
             self.runs[-1][1].append(doc_id)
         else:
             self.runs.append((norm, [doc_id]))
+        if len(self.runs[-1][1]) >= PIECE:  # what follows of this key is an edge too, and all are joined by their text
+            self.flush(edge=True)
+            self.cut = True
 
     def flush(self, edge: bool) -> None:
         for norm, ids in self.runs:
@@ -108,11 +113,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(docs[f"`{id_col}`"].cast("bigint").alias("doc_id"), docs[f"`{text_col}`"].alias("norm"))
     rows = rows.mapInArrow(normalised, "doc_id bigint, norm string").withColumn("code", F.xxhash64("norm"))
     prefix, last = F.substring(F.col("norm").cast("binary"), 1, PREFIX), F.desc_nulls_last("doc_id")
-    rows = rows.select("doc_id", F.col("norm").cast("binary").alias("norm"), "code", prefix.alias("prefix"))
-    dealt = rows.repartitionByRange("prefix", "code", last).sortWithinPartitions("prefix", "code", "norm", last)
+    number = F.monotonically_increasing_id().alias("number")  # parts rows that share text and id
+    rows = rows.select("doc_id", F.col("norm").cast("binary").alias("norm"), "code", prefix.alias("prefix"), number)
+    dealt = rows.repartitionByRange("prefix", "code", last, "number").sortWithinPartitions("prefix", "code", "norm", last)
     found = checkpointed(dealt.select("doc_id", "norm", "code").mapInArrow(neighbours, ROWS_DDL))
 
-    # At most two sort keys of each partition have rows here.
+    # At most two sort keys of each partition have rows here, and one row for each piece of a long run.
     edges = found.where("edge_text IS NOT NULL")
     totals = edges.groupBy("edge_text").agg(
         F.sum("group_size").alias("total"), F.max("keep_id").alias("last_id"), F.min("edge").alias("first_edge")
