@@ -130,13 +130,3 @@ def midpoint(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(
         good.alias("good_mean"), bad.alias("defect_mean"), ((good + bad) / 2.0).alias("threshold")
     )
-
-
-def best_parameter(found: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Hyper-parameter grid: highest F1, the earlier grid entry on ties."""
-    rest = [c for c in found.columns if c not in keys]
-    return (
-        found.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct("f1", -F.col(order))).alias("b"))
-        .select(*keys, "b.*")
-    )

@@ -123,6 +123,16 @@ def lof_events(spark, sf):
     return scored_test(neighbours.fit(train, features.FEATURES, 20), spark, sf)
 
 
+@query("tune_one_class_svm")
+def tuned_margin(spark, sf):
+    """Share of outliers (nu) and threshold with the best F1 on validation rows of labelled incidents; scores of the test rows."""
+    rows = materialize(with_incidents(spark, sf), "tuning-rows")
+    train, held = splits.normal_rows(rows), rows.where("split = 'val'")
+    model, nu, threshold = tuning.tune(lambda nu: oneclass.fit(train, features.FEATURES, nu=nu), oneclass.NU_GRID, held)
+    scored = model.transform(rows.where("split = 'test'"))
+    return scored.select(*ROW, "label", "score", F.lit(nu).alias("nu"), (F.col("score") > threshold).cast("int").alias("pred"))
+
+
 LOF_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), refs AS (SELECT * FROM e WHERE label < 5),
        rr AS (SELECT a.vec_id AS q, b.vec_id AS o, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: power(p[1] - p[2], 2)))) AS d
               FROM refs a JOIN refs b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d) <= 20),
