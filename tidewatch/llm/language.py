@@ -9,7 +9,6 @@ bounds what is sent to the executors.
 
 from __future__ import annotations
 
-import math
 import re
 import sys
 import unicodedata
@@ -201,25 +200,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     pieces = checkpointed(counts.mapInArrow(_taken_apart, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
-    tables = []
-    for stored, most in ((counts, WORDS), (pieces, GRAMS)):
-        found = _largest(stored, most).collect()
-        by_entry: dict[str, dict[str, int]] = {}
-        for r in found:
-            by_entry.setdefault(r["word"], {})[r["lang"]] = r["n"]
-        tables.append(by_entry)
-
-    def logs(counts: dict[str, int], size: float) -> list[float]:
-        """Smoothed log shares, relative to the mean of all languages; an entry with no language ahead is 0."""
-        shares = [(counts.get(lang, 0) + 0.5) / (totals[lang] + size) for lang in langs]
-        mean = sum(shares) / len(shares)
-        return [math.log(s / mean) for s in shares]
-
-    return Model(
-        langs,
-        {w: logs(c, WORDS) for w, c in tables[0].items()},
-        {g: logs(c, GRAMS) for g, c in tables[1].items()},
-    )
+
+    def logs(stored: DataFrame, most: int) -> dict[str, list[float]]:
+        """Smoothed log shares by entry, relative to the mean of all languages; an entry with no language ahead is 0."""
+        if not langs:
+            return {}
+        by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for i, lang in enumerate(langs)]
+        found = _largest(stored, most).groupBy("word").agg(*by_lang).toArrow()  # at most `most` entries a language
+        counts = np.stack([c.to_numpy() for c in found.columns[1:]], 1).astype(float)
+        shares = (np.nan_to_num(counts) + 0.5) / (np.array([totals[lang] for lang in langs]) + most)
+        return dict(zip(found.column(0).to_pylist(), np.log(shares / shares.mean(1, keepdims=True)).tolist()))
+
+    return Model(langs, logs(counts, WORDS), logs(pieces, GRAMS))
 
 
 def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
