@@ -295,6 +295,45 @@ def test_runs_are_compared_over_the_whole_host_however_large(spark):
         assert {r["page_id"]: r["text"] for r in html.extract(pages, size).collect()} == want
 
 
+def test_suffix_order_marks_the_words_of_every_page(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "été"]) + str(rng.randint(0, 9)) for _ in range(n))
+    menu, quoted, rows = line(7), line(9), []
+    for i in range(40):
+        own = f"<p>{line(12)}</p><p>{quoted if i % 4 == 0 else line(4)}</p>"
+        rows.append((i, f"http://{'ab'[i % 2]}/{i}", f"<nav>{menu}</nav><article>{own}</article><footer>{line(6)}</footer>"))
+        rows.append((100 + i, f"http://open/{i}", f"<div>{menu}</div><div>{line(12)}</div><div>{quoted if i in (3, 30) else ''}</div>"))
+    rows += [(90, "http://a/0", rows[0][2]), (90, "http://a/0", rows[0][2]), (91, "http://a/91", None), (92, "http://c/1", rows[0][2])]
+    hosts, want = {}, []
+    for i, url, page in rows:
+        hosts.setdefault(url.split("/")[2], []).append((i, [t for t, _ in html.blocks(page or "")]))
+    for found in hosts.values():
+        marked = html.repeated([" ".join(t).split(" ") if t else [] for _, t in found])
+        want += [(i, t, m.tolist()) for (i, t), m in zip(found, marked)]
+    assert sum(any(m) and not all(m) for _, _, m in want) > 70  # among them pages that structure decides
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (html.PART_BYTES, 500, 60):
+        got = [(int(r["page_id"]), r["texts"], r["marked"]) for r in html.marks(pages, size).collect()]
+        assert sorted(got) == sorted(want)
+    text = {r["page_id"]: r["text"] for r in html.extract(pages, 500).collect()}
+    assert text[4].split("\n")[1] == quoted and menu not in text[4]  # an article's paragraph is put back
+    assert quoted not in text[103] and text[104] and menu not in text[104]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_names_travel_whole(wide):
+    rng = random.Random(2)
+    texts = [[" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30)))] for _ in range(50)] + [[]]
+    found = html.Suffixes(["h"] * len(texts), texts, wide)
+    cuts = found.cuts(6)
+    for at in (slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b):
+        low = found.low[at] if wide else None
+        high, other = html._unpacked_names(html._packed(found.high[at], low), at.stop - at.start, wide)
+        assert high.tolist() == found.high[at].tolist() and (not wide or other.tolist() == low.tolist())
+    runs = {tuple(t[0].split()[k : k + html.RUN]) for t in texts if t for k in range(len(t[0].split()) - html.RUN + 1)}
+    assert cuts[-1] == len(found.high) == len(runs)
+
+
 def test_given_pages_give_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}

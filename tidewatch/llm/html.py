@@ -1,15 +1,18 @@
-"""Main-text extraction by structure and by runs of words that a host repeats.
-
-Pages are read into blocks with the place each stood in. Blocks that a page's own
-structure names as menus, adverts and the like go, paragraphs of an article stay
-(articles are quoted and mirrored in full), and where a page has an article, text
-outside of it goes. About what is left, text of pages without an article and loose
-text inside one, the host's runs decide: a run of RUN words that at least two of the
-host's pages hold is repeated, and a block goes if most of its words lie in such runs.
-Pages emit their distinct runs, which are counted by (host, run) over the whole host
-with map-side sums and joined back as texts, so neither the host's size nor the place
-of a page matters, and no task gets a whole host. `repeated` makes the same decision
-with a suffix array over pages that fit in memory; tests compare both.
+"""Main-text extraction by the order of suffixes of a host's word streams, checked against page structure.
+
+Pages are read into blocks with the place each stood in. The suffixes of all pages' words
+are sorted host by host to the depth of a run of RUN words; neighbours that agree and come
+from distinct pages mark words that the host repeats. A block goes if most of its words are
+marked, unique runs stay. Structure then checks that decision: paragraphs of an article are
+put back (articles are quoted and mirrored in full), and what a page's own structure names
+as menus, adverts and the like goes, as does text outside of an article where there is one.
+
+A suffix is sorted by the name of its host and first run, a fingerprint instead of the rank that
+prefix doubling gives it in `repeated`: equal runs are neighbours in either order. Pages travel
+in chunks of bounded size; a chunk sorts its own suffixes and sends each distinct name once to
+the part that owns the name's range, the part sorts them and answers with one bit a name. So
+neither the host's size nor the place of a page matters, and no task gets a whole host.
+`repeated` marks the same words in memory; tests compare both.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,7 +31,9 @@ from tidewatch.llm.common import broadcast_if_small, checkpointed
 
 RUN = 5
 COVERED = 0.8
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 22
+PART_HTML = 1 << 26  # html whose names one part of their order gets, about; there are at least 64 parts
+NARROW_BITS = 40  # of a name, on hosts whose pages structure decides; elsewhere a name has 128 bits
 
 # Element and class names of HTML pages.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title"}
@@ -192,132 +198,275 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
 
 
 def main_text(texts: list[str], places: list[int], marked: np.ndarray) -> str:
-    """The blocks that stay, one a line."""
-    in_article = any(p in (SOFT, FIRM) for p in places)
-    kept, at = [], 0
-    for text, place in zip(texts, places):
-        size = text.count(" ") + 1
-        template = marked[at : at + size].mean() >= COVERED
-        at += size
-        if place == FIRM or (place == (SOFT if in_article else LOOSE) and not template):
-            kept.append(text)
-    return "\n".join(kept)
+    """The blocks that stay, one a line: what the host does not repeat, checked against structure."""
+    if not texts:
+        return ""
+    sizes = np.array([text.count(" ") + 1 for text in texts])
+    unique = np.add.reduceat(marked, np.cumsum(sizes) - sizes, dtype=np.int64) / sizes < COVERED
+    loose = SOFT if any(p in (SOFT, FIRM) for p in places) else LOOSE
+    return "\n".join(t for t, p, own in zip(texts, places, unique) if p == FIRM or (own and p == loose))
 
 
 def is_open(places: list[int]) -> bool:
-    """Whether runs decide about any block of the page; structure alone decides all others."""
+    """Whether runs change what structure says about any block of the page."""
     return (SOFT in places) or (LOOSE in places and FIRM not in places)
 
 
-def _words(texts: list[str]) -> list[str]:
-    return " ".join(texts).split(" ") if len(texts) else []
+PAGE = pa.schema(
+    [
+        ("page_id", pa.string()), ("url", pa.string()), ("host", pa.string()),
+        ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int8())),
+    ]
+)
 
 
-def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of pages that structure decides."""
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hosts of pages that runs change, and the bytes of html beside a null host."""
     for batch in batches:
-        found = [blocks(page.as_py() or "") for page in batch.column("html")]
-        at = [i for i, f in enumerate(found) if not is_open([p for _, p in f])]
-        text = ["\n".join(t for t, p in found[i] if p == FIRM) for i in at]
-        kept = [batch.column(name).take(pa.array(at, pa.int64())) for name in ("page_id", "url")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(text, pa.string())], ["page_id", "url", "text"])
+        hosts, pages = batch.column("host").to_pylist(), batch.column("html").to_pylist()
+        found = {h for h, page in zip(hosts, pages) if is_open([p for _, p in blocks(page or "")])}
+        n = [0] * len(found) + [sum(len(page or "") for page in pages)]
+        yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array(n, pa.int64())], ["host", "n"])
+
+
+def _chunks(part_bytes: int):
+    """(wide, pages, chunk) of about `part_bytes` of text or one page: a compressed Arrow stream and its digest.
+
+    Equal chunks share their digest and their answers, which are the same."""
+
+    def chunk(wide: bool, rows: list[tuple]) -> pa.RecordBatch:
+        pages = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PAGE)], schema=PAGE)
+        sink = pa.BufferOutputStream()
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        with pa.ipc.new_stream(sink, PAGE, options=options) as out:
+            out.write_batch(pages)
+        stream = sink.getvalue().to_pybytes()
+        arrays = [pa.array([wide], pa.bool_()), *(pa.array([b], pa.binary()) for b in (stream, hashlib.sha256(stream).digest()))]
+        return pa.RecordBatch.from_arrays(arrays, ["wide", "pages", "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+        for batch in batches:
+            for page_id, url, host, wide, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "wide", "html"))):
+                wide, found = wide.as_py(), blocks(page.as_py() or "")
+                row = (page_id.as_py(), url.as_py(), host.as_py(), [t for t, _ in found], [p for _, p in found])
+                held[wide].append(row)
+                size[wide] += sum(len(t) for t in row[3]) + 64
+                if size[wide] >= part_bytes:
+                    yield chunk(wide, held[wide])
+                    held[wide], size[wide] = [], 0
+        for wide, rows in held.items():
+            if rows:
+                yield chunk(wide, rows)
+
+    return run
+
+
+def _unpacked(chunk: pa.Buffer) -> dict[str, list]:
+    return pa.ipc.open_stream(chunk).read_all().to_pydict()
+
+
+class Suffixes:
+    """The suffixes of a chunk's pages in the order of their names.
+
+    `high` and `low` are the distinct names in order (`low` only of wide ones), `shared` tells which
+    of them two pages of the chunk have; `starts` are the suffixes and `name_of` their names' places."""
+
+    def __init__(self, hosts: list[str], texts: list[list[str]], wide: bool):
+        words = [" ".join(t).split(" ") if t else [] for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(self.sizes)
+        page = np.repeat(np.arange(len(words)), self.sizes)
+        self.starts = np.flatnonzero(np.arange(len(page)) + RUN <= ends[page])
+        page = page[self.starts]
+        flat = np.array([w for p in words for w in p], object)
+        self.high = self._named(flat, hosts, page, "main text, first")
+        self.low = self._named(flat, hosts, page, "main text, other") if wide else None
+        if not wide:
+            self.high >>= np.uint64(64 - NARROW_BITS)
+        order = np.lexsort((self.low, self.high)) if wide else np.argsort(self.high)
+        self.high, page = self.high[order], page[order]
+        new = np.diff(self.high, prepend=self.high[:1]) != 0
+        if wide:
+            self.low = self.low[order]
+            new |= np.diff(self.low, prepend=self.low[:1]) != 0
+        new[:1] = True
+        first = np.flatnonzero(new)
+        self.name_of = np.empty(len(order), np.int64)
+        self.name_of[order] = np.cumsum(new) - 1
+        self.high = self.high[first]
+        self.low = self.low[first] if wide else None
+        self.shared = np.zeros(len(first), bool)
+        if len(first):
+            self.shared = np.minimum.reduceat(page, first) < np.maximum.reduceat(page, first)
+
+    def _named(self, words: np.ndarray, hosts: list[str], page: np.ndarray, key: str) -> np.ndarray:
+        """A fingerprint of each suffix's host and first run."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        hashed = pd.util.hash_array(words, hash_key=key)
+        name = pd.util.hash_array(np.array(hosts, object), hash_key=key)[page]
+        for at in range(RUN):
+            name = (name ^ (name >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashed[self.starts + at]
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            name = (name ^ (name >> np.uint64(shift))) * np.uint64(by)
+        return name ^ (name >> np.uint64(31))
+
+    def cuts(self, part_bits: int) -> np.ndarray:
+        """Where the parts begin and end among the names."""
+        bits = (NARROW_BITS if self.low is None else 64) - part_bits
+        begins = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(bits)
+        return np.append(np.searchsorted(self.high, begins), len(self.high))
+
+    def marked(self, shared: np.ndarray) -> list[np.ndarray]:
+        """By page, which of its words lie in a run whose name is shared."""
+        begun = self.starts[shared[self.name_of]]
+        edge = np.zeros(int(self.sizes.sum()) + RUN + 1, np.int64)
+        np.add.at(edge, begun, 1)
+        np.add.at(edge, begun + RUN, -1)
+        words = np.cumsum(edge) > 0
+        return [words[end - size : end] for size, end in zip(self.sizes, np.cumsum(self.sizes))]
+
+
+def _packed(high: np.ndarray, low: np.ndarray | None) -> bytes:
+    """Names of a part: wide ones as they are; narrow ones as gaps, whose two low bytes do not compress."""
+    if low is not None:
+        return high.tobytes() + low.tobytes()
+    gaps = np.diff(high, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return gaps[:, :2].tobytes() + pa.compress(gaps[:, 2:].T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_names(packed: bytes, n: int, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    if wide:
+        high, low = np.frombuffer(packed, np.uint64).reshape(2, n)
+        return high, low
+    gaps = np.empty((n, 8), np.uint8)
+    gaps[:, :2] = np.frombuffer(packed, np.uint8, 2 * n).reshape(n, 2)
+    gaps[:, 2:] = np.frombuffer(pa.decompress(packed[2 * n :], 6 * n, codec="zstd"), np.uint8).reshape(6, n).T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), None
+
+
+def _names_of_chunks(part_bits: int):
+    """Each chunk's distinct names, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wide, chunk, pages in zip(*(batch.column(c) for c in ("wide", "chunk", "pages"))):
+                wide, pages = wide.as_py(), _unpacked(pages.as_buffer())
+                found = Suffixes(pages["host"], pages["texts"], wide)
+                cuts, low = found.cuts(part_bits), found.low
+                parts = np.flatnonzero(np.diff(cuts))
+                spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
+                names = [_packed(found.high[at], None if low is None else low[at]) for at in spans]
+                k = len(parts)
+                arrays = [
+                    pa.array([wide] * k, pa.bool_()), pa.array(parts, pa.int32()), pa.array([chunk.as_py()] * k, pa.binary()),
+                    pa.array(np.diff(cuts)[parts], pa.int32()), pa.array(names, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["wide", "part", "chunk", "n", "names"])
+
+    return run
+
+
+def _compared(names: pa.Table) -> pa.Table:
+    """A part's names in order: which of them have an equal neighbour, hence from another chunk, as bits by chunk."""
+    wide, sizes = names.column("wide")[0].as_py(), names.column("n").to_numpy()
+    found = [_unpacked_names(p.as_py(), n, wide) for p, n in zip(names.column("names"), sizes)]
+    high = np.concatenate([h for h, _ in found])
+    low = np.concatenate([lo for _, lo in found]) if wide else None
+    del found
+    order = np.lexsort((low, high)) if wide else np.argsort(high)
+    equal = np.diff(high[order]) == 0
+    if wide:
+        equal &= np.diff(low[order]) == 0
+    shared = np.zeros(len(order), bool)
+    shared[order[1:][equal]] = True
+    shared[order[:-1][equal]] = True
+    bits = [np.packbits(s).tobytes() for s in np.split(shared, np.cumsum(sizes)[:-1])]
+    return pa.table([names.column("chunk"), names.column("part"), pa.array(bits, pa.binary())], ["chunk", "part", "bits"])
+
+
+def _marked_pages(batch: pa.RecordBatch, part_bits: int) -> Iterator[tuple[dict[str, list], list[np.ndarray]]]:
+    """A chunk's pages, and by page which of its words the host repeats."""
+    for wide, pages, answers in zip(*(batch.column(c) for c in ("wide", "pages", "answers"))):
+        pages = _unpacked(pages.as_buffer())
+        found = Suffixes(pages["host"], pages["texts"], wide.as_py())
+        cuts, shared = found.cuts(part_bits), found.shared
+        answers = answers.as_py() or ()
+        if len(answers) < np.count_nonzero(np.diff(cuts)):
+            raise RuntimeError("the pages changed while they were read")
+        for answer in answers:
+            a, b = cuts[answer["part"]], cuts[answer["part"] + 1]
+            shared[a:b] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
+        yield pages, found.marked(shared)
+
+
+def _marks(part_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pages, marked in _marked_pages(batch, part_bits):
+                arrays = [pa.array(pages[f.name], f.type) for f in PAGE]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(marked, pa.list_(pa.bool_()))], [*PAGE.names, "marked"])
 
+    return run
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of all other pages; `page` names the html."""
-    for batch in batches:
-        pages = [page.as_py() or "" for page in batch.column("html")]
-        found = [blocks(page) for page in pages]
-        at = [i for i, f in enumerate(found) if is_open([p for _, p in f])]
-        kept = [batch.column(name).take(pa.array(at, pa.int64())) for name in ("page_id", "url", "host")]
-        page = pa.array([hashlib.sha256(pages[i].encode()).hexdigest() for i in at], pa.string())
-        texts = pa.array([[t for t, _ in found[i]] for i in at], pa.list_(pa.string()))
-        places = pa.array([[p for _, p in found[i]] for i in at], pa.list_(pa.int32()))
-        names = ["page_id", "url", "host", "page", "texts", "places"]
-        yield pa.RecordBatch.from_arrays([*kept, page, texts, places], names)
-
-
-def _in_parts(rows: Iterator[tuple], part_bytes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of at most about `part_bytes` of runs, the second field of a row."""
-    part, size = [], 0
-    for row in rows:
-        part.append(row)
-        size += len(row[1])
-        if size >= part_bytes:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
-            part, size = [], 0
-    if part:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
-
-
-def _runs(part_bytes: int):
-    """(host, run) of each page's distinct runs."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+
+def _decided(part_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                words = _words([t for t, _ in blocks(page.as_py() or "")])
-                for run in {" ".join(words[at : at + RUN]) for at in range(len(words) - RUN + 1)}:
-                    yield host, run
+            for pages, marked in _marked_pages(batch, part_bits):
+                text = [main_text(t, p, m) for t, p, m in zip(pages["texts"], pages["places"], marked)]
+                arrays = [pa.array(column, pa.string()) for column in (pages["page_id"], pages["url"], text)]
+                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text"])
 
-    schema = pa.schema([("host", pa.string()), ("run", pa.string())])
-    return lambda batches: _in_parts(rows(batches), part_bytes, schema)
+    return run
 
 
-def _asked(part_bytes: int):
-    """(host, run, page, ats) of the runs that reach into a block which runs decide, and where they begin."""
+NAMES = "wide boolean, part int, chunk binary, n int, names binary"
+MARKED = "page_id string, url string, host string, texts array<string>, places array<tinyint>, marked array<boolean>"
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, places = _words(row["texts"]), row["places"]
-                place = SOFT if SOFT in places else LOOSE
-                undecided = np.repeat([p == place for p in places], [t.count(" ") + 1 for t in row["texts"]])
-                before = np.concatenate([[0], np.cumsum(undecided)])
-                ats: dict[str, list[int]] = {}
-                for at in np.flatnonzero(before[RUN:] > before[:-RUN]).tolist():
-                    ats.setdefault(" ".join(words[at : at + RUN]), []).append(at)
-                for run, begins in ats.items():
-                    yield row["host"], run, row["page"], begins
-
-    schema = pa.schema([("host", pa.string()), ("run", pa.string()), ("page", pa.string()), ("ats", pa.list_(pa.int32()))])
-    return lambda batches: _in_parts(rows(batches), part_bytes, schema)
-
-
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = []
-        for texts, places, ats in zip(*(batch.column(c).to_pylist() for c in ("texts", "places", "ats"))):
-            marked = np.zeros(len(_words(texts)), bool)
-            for at in ats or ():
-                marked[at : at + RUN] = True
-            text.append(main_text(texts, places, marked))
-        kept = [batch.column(name) for name in ("page_id", "url")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+def _with_answers(pages: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
+    """Chunks of all pages (wide, pages) with the answers of the parts that hold their names, and those parts' bits."""
+    host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
+    # Hosts with pages that runs change get names of 128 bits; elsewhere structure has the last word on every block.
+    survey = checkpointed(rows.select("host", "html").mapInArrow(_surveyed, "host string, n bigint"))
+    part_bits = max(6, ((survey.agg(F.sum("n")).first()[0] or 0) // PART_HTML).bit_length())
+    hosts = survey.where("host is not null").select("host").distinct()
+    if hosts.isEmpty():
+        rows = rows.withColumn("wide", F.lit(False))
+    else:
+        hosts = broadcast_if_small(hosts.withColumn("open", F.lit(True)), F.octet_length("host") + 64)
+        rows = rows.join(hosts, "host", "left").withColumn("wide", F.coalesce("open", F.lit(False)))
+    rows = rows.select("page_id", "url", "html", "host", "wide")
+    # The shuffled chunks are written once: both the names and the join with the answers read them.
+    chunks = rows.mapInArrow(_chunks(part_bytes), "wide boolean, pages binary, chunk binary").repartition("chunk")
+    names = chunks.mapInArrow(_names_of_chunks(part_bits), NAMES)
+    answers = names.groupBy("wide", "part").applyInArrow(_compared, "chunk binary, part int, bits binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    # The small side is hashed, so that no chunk is sorted.
+    return chunks.join(answers.hint("shuffle_hash"), "chunk", "left").select("wide", "pages", "answers"), part_bits
+
+
+def marks(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per page: page_id, url, host, its blocks (texts, places) and, by word, whether the host repeats it.
+
+    Where structure decides every page of a host, names have NARROW_BITS only: on a large table a few words
+    too many are marked there, which changes no text."""
+    chunks, part_bits = _with_answers(pages, part_bytes)
+    return chunks.mapInArrow(_marks(part_bits), MARKED)
 
 
 def extract(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null html is empty and gives an empty text; pages without a url share an empty host; ids may
-    be null or repeat; an empty table gives no rows; only page_id, url and html are read. Runs are
-    compared as texts over the whole of a host; `part_bytes` bounds what a task hands on at once."""
-    host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    found = rows.mapInArrow(_closed, "page_id string, url string, text string")
-    schema = "page_id string, url string, host string, page string, texts array<string>, places array<int>"
-    undecided = checkpointed(rows.mapInArrow(_open, schema))
-    if not undecided.isEmpty():
-        # Rows with the same html on the same host are decided once and count once each.
-        once = undecided.select("host", "page", "texts", "places").dropDuplicates(["host", "page"])
-        asked = once.mapInArrow(_asked(part_bytes), "host string, run string, page string, ats array<int>")
-        hosts = broadcast_if_small(undecided.select("host").distinct(), F.octet_length("host") + 64)
-        runs = rows.join(hosts, "host", "left_semi").select("host", "html").mapInArrow(_runs(part_bytes), "host string, run string")
-        shared = runs.groupBy("host", "run").agg(F.count("*").alias("n")).where("n > 1").select("host", "run")
-        hits = checkpointed(asked).join(checkpointed(shared), ["host", "run"], "left_semi")
-        hits = hits.groupBy("host", "page").agg(F.flatten(F.collect_list("ats")).alias("ats"))
-        text = undecided.join(hits, ["host", "page"], "left").select("page_id", "url", "texts", "places", "ats")
-        found = found.unionByName(text.mapInArrow(_decided, "page_id string, url string, text string"))
+    be null or repeat; an empty table gives no rows; only page_id, url and html are read. Suffixes of
+    every page are compared over the whole of a host; `part_bytes` bounds a chunk of pages."""
+    chunks, part_bits = _with_answers(pages, part_bytes)
+    found = chunks.mapInArrow(_decided(part_bits), "page_id string, url string, text string")
     return found.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
     )
