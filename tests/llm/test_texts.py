@@ -320,18 +320,25 @@ def test_suffix_order_marks_the_words_of_every_page(spark):
     assert quoted not in text[103] and text[104] and menu not in text[104]
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_names_travel_whole(wide):
+def test_names_travel_whole():
     rng = random.Random(2)
     texts = [[" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30)))] for _ in range(50)] + [[]]
-    found = html.Suffixes(["h"] * len(texts), texts, wide)
-    cuts = found.cuts(6)
-    for at in (slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b):
-        low = found.low[at] if wide else None
-        high, other = html._unpacked_names(html._packed(found.high[at], low), at.stop - at.start, wide)
-        assert high.tolist() == found.high[at].tolist() and (not wide or other.tolist() == low.tolist())
+    found = html.Suffixes(["h"] * len(texts), texts, 6)
+    for at in (slice(a, b) for a, b in zip(found.cuts, found.cuts[1:]) if a < b):
+        assert html._unpacked_names(html._packed(found.names[at]), at.stop - at.start).tolist() == found.names[at].tolist()
     runs = {tuple(t[0].split()[k : k + html.RUN]) for t in texts if t for k in range(len(t[0].split()) - html.RUN + 1)}
-    assert cuts[-1] == len(found.high) == len(runs)
+    assert found.cuts[-1] == len(found.names) == len(runs)
+
+
+def test_runs_of_equal_names_are_told_apart_by_their_words(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    notice = line(8)
+    own = [line(20) for _ in range(60)]
+    rows = [(i, f"http://{'ab'[i % 2]}/", f"<div>{notice}</div><div>{o}</div>") for i, o in enumerate(own)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (html.PART_BYTES, 500):  # 64 names for 1,800 runs
+        assert {r["page_id"]: r["text"] for r in html.extract(pages, size, 6).collect()} == dict(enumerate(own))
 
 
 def test_given_pages_give_their_articles(spark):

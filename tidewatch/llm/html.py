@@ -10,9 +10,10 @@ as menus, adverts and the like goes, as does text outside of an article where th
 A suffix is sorted by the name of its host and first run, a fingerprint instead of the rank that
 prefix doubling gives it in `repeated`: equal runs are neighbours in either order. Pages travel
 in chunks of bounded size; a chunk sorts its own suffixes and sends each distinct name once to
-the part that owns the name's range, the part sorts them and answers with one bit a name. So
-neither the host's size nor the place of a page matters, and no task gets a whole host.
-`repeated` marks the same words in memory; tests compare both.
+the part that owns the name's range, the part sorts them and answers with one bit a name. On
+hosts with a page that marks can change, runs of shared names are then sorted and compared as
+texts in the same way. So neither the host's size nor the place of a page matters, and no task
+gets a whole host. `repeated` marks the same words in memory; tests compare both.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.common import broadcast_if_small, checkpointed
@@ -33,7 +35,7 @@ RUN = 5
 COVERED = 0.8
 PART_BYTES = 1 << 22
 PART_HTML = 1 << 26  # html whose names one part of their order gets, about; there are at least 64 parts
-NARROW_BITS = 40  # of a name, on hosts whose pages structure decides; elsewhere a name has 128 bits
+NAME_BITS = 40
 
 # Element and class names of HTML pages.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title"}
@@ -230,35 +232,35 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(part_bytes: int):
-    """(wide, pages, chunk) of about `part_bytes` of text or one page: a compressed Arrow stream and its digest.
+    """(open, pages, chunk) of about `part_bytes` of text or one page: a compressed Arrow stream and its digest.
 
     Equal chunks share their digest and their answers, which are the same."""
 
-    def chunk(wide: bool, rows: list[tuple]) -> pa.RecordBatch:
+    def chunk(is_open: bool, rows: list[tuple]) -> pa.RecordBatch:
         pages = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PAGE)], schema=PAGE)
         sink = pa.BufferOutputStream()
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         with pa.ipc.new_stream(sink, PAGE, options=options) as out:
             out.write_batch(pages)
         stream = sink.getvalue().to_pybytes()
-        arrays = [pa.array([wide], pa.bool_()), *(pa.array([b], pa.binary()) for b in (stream, hashlib.sha256(stream).digest()))]
-        return pa.RecordBatch.from_arrays(arrays, ["wide", "pages", "chunk"])
+        arrays = [pa.array([is_open], pa.bool_()), *(pa.array([b], pa.binary()) for b in (stream, hashlib.sha256(stream).digest()))]
+        return pa.RecordBatch.from_arrays(arrays, ["open", "pages", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple]] = {False: [], True: []}
         size = {False: 0, True: 0}
         for batch in batches:
-            for page_id, url, host, wide, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "wide", "html"))):
-                wide, found = wide.as_py(), blocks(page.as_py() or "")
+            for page_id, url, host, at, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "open", "html"))):
+                at, found = at.as_py(), blocks(page.as_py() or "")
                 row = (page_id.as_py(), url.as_py(), host.as_py(), [t for t, _ in found], [p for _, p in found])
-                held[wide].append(row)
-                size[wide] += sum(len(t) for t in row[3]) + 64
-                if size[wide] >= part_bytes:
-                    yield chunk(wide, held[wide])
-                    held[wide], size[wide] = [], 0
-        for wide, rows in held.items():
+                held[at].append(row)
+                size[at] += sum(len(t) for t in row[3]) + 64
+                if size[at] >= part_bytes:
+                    yield chunk(at, held[at])
+                    held[at], size[at] = [], 0
+        for at, rows in held.items():
             if rows:
-                yield chunk(wide, rows)
+                yield chunk(at, rows)
 
     return run
 
@@ -267,155 +269,202 @@ def _unpacked(chunk: pa.Buffer) -> dict[str, list]:
     return pa.ipc.open_stream(chunk).read_all().to_pydict()
 
 
+def _of_two_pages(order: np.ndarray, first: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Which groups of equals, that begin at `first` in order, stand on more than one page."""
+    if not len(first):
+        return np.zeros(0, bool)
+    return np.minimum.reduceat(page[order], first) < np.maximum.reduceat(page[order], first)
+
+
 class Suffixes:
     """The suffixes of a chunk's pages in the order of their names.
 
-    `high` and `low` are the distinct names in order (`low` only of wide ones), `shared` tells which
-    of them two pages of the chunk have; `starts` are the suffixes and `name_of` their names' places."""
+    `names` are the distinct names in order, `cuts` where the parts begin and end among them, `shared`
+    tells which of them two pages of the chunk have; `starts` are the suffixes, `page` their pages and
+    `name_of` their names' places."""
 
-    def __init__(self, hosts: list[str], texts: list[list[str]], wide: bool):
+    def __init__(self, hosts: list[str], texts: list[list[str]], part_bits: int, name_bits: int = NAME_BITS):
         words = [" ".join(t).split(" ") if t else [] for t in texts]
+        self.hosts, self.words = hosts, np.array([w for p in words for w in p], object)
         self.sizes = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(self.sizes)
         page = np.repeat(np.arange(len(words)), self.sizes)
-        self.starts = np.flatnonzero(np.arange(len(page)) + RUN <= ends[page])
-        page = page[self.starts]
-        flat = np.array([w for p in words for w in p], object)
-        self.high = self._named(flat, hosts, page, "main text, first")
-        self.low = self._named(flat, hosts, page, "main text, other") if wide else None
-        if not wide:
-            self.high >>= np.uint64(64 - NARROW_BITS)
-        order = np.lexsort((self.low, self.high)) if wide else np.argsort(self.high)
-        self.high, page = self.high[order], page[order]
-        new = np.diff(self.high, prepend=self.high[:1]) != 0
-        if wide:
-            self.low = self.low[order]
-            new |= np.diff(self.low, prepend=self.low[:1]) != 0
+        self.starts = np.flatnonzero(np.arange(len(page)) + RUN <= np.cumsum(self.sizes)[page])
+        self.page = page[self.starts]
+        names = self._named() >> np.uint64(64 - name_bits)
+        order = np.argsort(names)
+        new = np.diff(names[order], prepend=np.uint64(0)) != 0
         new[:1] = True
         first = np.flatnonzero(new)
         self.name_of = np.empty(len(order), np.int64)
         self.name_of[order] = np.cumsum(new) - 1
-        self.high = self.high[first]
-        self.low = self.low[first] if wide else None
-        self.shared = np.zeros(len(first), bool)
-        if len(first):
-            self.shared = np.minimum.reduceat(page, first) < np.maximum.reduceat(page, first)
+        self.names = names[order[first]]
+        self.parts = (self.names >> np.uint64(name_bits - part_bits)).astype(np.int64)
+        self.cuts = np.searchsorted(self.parts, np.arange((1 << part_bits) + 1))
+        self.shared = _of_two_pages(order, first, self.page)
 
-    def _named(self, words: np.ndarray, hosts: list[str], page: np.ndarray, key: str) -> np.ndarray:
+    def _named(self) -> np.ndarray:
         """A fingerprint of each suffix's host and first run."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        hashed = pd.util.hash_array(words, hash_key=key)
-        name = pd.util.hash_array(np.array(hosts, object), hash_key=key)[page]
+        hashed = pd.util.hash_array(self.words)
+        name = pd.util.hash_array(np.array(self.hosts, object))[self.page]
         for at in range(RUN):
             name = (name ^ (name >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashed[self.starts + at]
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             name = (name ^ (name >> np.uint64(shift))) * np.uint64(by)
         return name ^ (name >> np.uint64(31))
 
-    def cuts(self, part_bits: int) -> np.ndarray:
-        """Where the parts begin and end among the names."""
-        bits = (NARROW_BITS if self.low is None else 64) - part_bits
-        begins = np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(bits)
-        return np.append(np.searchsorted(self.high, begins), len(self.high))
-
-    def marked(self, shared: np.ndarray) -> list[np.ndarray]:
-        """By page, which of its words lie in a run whose name is shared."""
-        begun = self.starts[shared[self.name_of]]
-        edge = np.zeros(int(self.sizes.sum()) + RUN + 1, np.int64)
+    def marked(self, repeat: np.ndarray) -> list[np.ndarray]:
+        """By page, which of its words lie in the first run of a suffix that repeats."""
+        begun = self.starts[repeat]
+        edge = np.zeros(len(self.words) + RUN + 1, np.int64)
         np.add.at(edge, begun, 1)
         np.add.at(edge, begun + RUN, -1)
         words = np.cumsum(edge) > 0
         return [words[end - size : end] for size, end in zip(self.sizes, np.cumsum(self.sizes))]
 
 
-def _packed(high: np.ndarray, low: np.ndarray | None) -> bytes:
-    """Names of a part: wide ones as they are; narrow ones as gaps, whose two low bytes do not compress."""
-    if low is not None:
-        return high.tobytes() + low.tobytes()
-    gaps = np.diff(high, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+class Runs:
+    """The first runs of the suffixes whose names are shared, as texts behind their host.
+
+    `texts` are the distinct ones in order by part, `cuts` where the parts begin and end among them, `shared`
+    tells which of them two pages of the chunk have; `suffixes` are the suffixes and `run_of` their runs' places."""
+
+    def __init__(self, found: Suffixes, shared: np.ndarray):
+        self.suffixes = np.flatnonzero(shared[found.name_of])
+        page, starts = found.page[self.suffixes], found.starts[self.suffixes]
+        texts = [f"{found.hosts[p]}\n{' '.join(found.words[s : s + RUN])}" for p, s in zip(page.tolist(), starts.tolist())]
+        code, texts = pd.factorize(np.array(texts, object), sort=True)
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        part = found.parts[found.name_of[self.suffixes[order[first]]]]
+        by_part = np.argsort(part, kind="stable")
+        place = np.empty(len(by_part), np.int64)
+        place[by_part] = np.arange(len(by_part))
+        self.run_of = place[code]
+        self.texts, self.shared = texts[by_part], _of_two_pages(order, first, page)[by_part]
+        self.cuts = np.searchsorted(part[by_part], np.arange(len(found.cuts)))
+
+
+def _packed(names: np.ndarray) -> bytes:
+    """Names of a part as gaps, whose two low bytes do not compress."""
+    gaps = np.diff(names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     return gaps[:, :2].tobytes() + pa.compress(gaps[:, 2:].T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked_names(packed: bytes, n: int, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    if wide:
-        high, low = np.frombuffer(packed, np.uint64).reshape(2, n)
-        return high, low
+def _unpacked_names(packed: bytes, n: int) -> np.ndarray:
     gaps = np.empty((n, 8), np.uint8)
     gaps[:, :2] = np.frombuffer(packed, np.uint8, 2 * n).reshape(n, 2)
     gaps[:, 2:] = np.frombuffer(pa.decompress(packed[2 * n :], 6 * n, codec="zstd"), np.uint8).reshape(6, n).T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), None
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _names_of_chunks(part_bits: int):
+def _by_part(chunk: pa.Scalar, cuts: np.ndarray, pack, kind: pa.DataType) -> pa.RecordBatch:
+    """(part, chunk, n, sent) of each part that a chunk sends something to."""
+    parts = np.flatnonzero(np.diff(cuts))
+    sent = [pack(slice(cuts[p], cuts[p + 1])) for p in parts]
+    arrays = [
+        pa.array(parts, pa.int32()), pa.array([chunk.as_py()] * len(parts), pa.binary()),
+        pa.array(np.diff(cuts)[parts], pa.int32()), pa.array(sent, kind),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["part", "chunk", "n", "sent"])
+
+
+def _names_of_chunks(part_bits: int, name_bits: int = NAME_BITS):
     """Each chunk's distinct names, by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for wide, chunk, pages in zip(*(batch.column(c) for c in ("wide", "chunk", "pages"))):
-                wide, pages = wide.as_py(), _unpacked(pages.as_buffer())
-                found = Suffixes(pages["host"], pages["texts"], wide)
-                cuts, low = found.cuts(part_bits), found.low
-                parts = np.flatnonzero(np.diff(cuts))
-                spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
-                names = [_packed(found.high[at], None if low is None else low[at]) for at in spans]
-                k = len(parts)
-                arrays = [
-                    pa.array([wide] * k, pa.bool_()), pa.array(parts, pa.int32()), pa.array([chunk.as_py()] * k, pa.binary()),
-                    pa.array(np.diff(cuts)[parts], pa.int32()), pa.array(names, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["wide", "part", "chunk", "n", "names"])
+            for chunk, pages in zip(batch.column("chunk"), batch.column("pages")):
+                pages = _unpacked(pages.as_buffer())
+                found = Suffixes(pages["host"], pages["texts"], part_bits, name_bits)
+                yield _by_part(chunk, found.cuts, lambda at, found=found: _packed(found.names[at]), pa.binary())
 
     return run
 
 
-def _compared(names: pa.Table) -> pa.Table:
-    """A part's names in order: which of them have an equal neighbour, hence from another chunk, as bits by chunk."""
-    wide, sizes = names.column("wide")[0].as_py(), names.column("n").to_numpy()
-    found = [_unpacked_names(p.as_py(), n, wide) for p, n in zip(names.column("names"), sizes)]
-    high = np.concatenate([h for h, _ in found])
-    low = np.concatenate([lo for _, lo in found]) if wide else None
-    del found
-    order = np.lexsort((low, high)) if wide else np.argsort(high)
-    equal = np.diff(high[order]) == 0
-    if wide:
-        equal &= np.diff(low[order]) == 0
+def _answers(sent: pa.Table, shared: np.ndarray) -> pa.Table:
+    bits = [np.packbits(s).tobytes() for s in np.split(shared, np.cumsum(sent.column("n").to_numpy())[:-1])]
+    return pa.table([sent.column("chunk"), sent.column("part"), pa.array(bits, pa.binary())], ["chunk", "part", "bits"])
+
+
+def _neighbours(order: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which have an equal neighbour in order; hence from another chunk, which sends each once."""
     shared = np.zeros(len(order), bool)
     shared[order[1:][equal]] = True
     shared[order[:-1][equal]] = True
-    bits = [np.packbits(s).tobytes() for s in np.split(shared, np.cumsum(sizes)[:-1])]
-    return pa.table([names.column("chunk"), names.column("part"), pa.array(bits, pa.binary())], ["chunk", "part", "bits"])
+    return shared
+
+
+def _compared_names(sent: pa.Table) -> pa.Table:
+    """A part's names in order: which of them have an equal neighbour, as bits by chunk."""
+    names = np.concatenate([_unpacked_names(p.as_py(), n) for p, n in zip(sent.column("sent"), sent.column("n").to_numpy())])
+    order = np.argsort(names)
+    return _answers(sent, _neighbours(order, np.diff(names[order]) == 0))
 
 
-def _marked_pages(batch: pa.RecordBatch, part_bits: int) -> Iterator[tuple[dict[str, list], list[np.ndarray]]]:
+def _compared_runs(sent: pa.Table) -> pa.Table:
+    """A part's runs in order: which of them have an equal neighbour, as bits by chunk."""
+    runs = pc.list_flatten(sent.column("sent").combine_chunks())
+    order = pc.sort_indices(runs)
+    runs = runs.take(order)
+    equal = pc.equal(runs[1:], runs[:-1]).to_numpy(zero_copy_only=False)
+    return _answers(sent, _neighbours(order.to_numpy(), equal))
+
+
+def _with_bits(shared: np.ndarray, cuts: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+    """What a chunk shares, by itself or as the parts answered."""
+    if len(answers or ()) < np.count_nonzero(np.diff(cuts)):
+        raise RuntimeError("the pages changed while they were read")
+    shared = shared.copy()
+    for answer in answers or ():
+        a, b = cuts[answer["part"]], cuts[answer["part"] + 1]
+        shared[a:b] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
+    return shared
+
+
+def _runs_of_chunks(part_bits: int, name_bits: int):
+    """The distinct runs of shared names of chunks of open hosts, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for is_open, chunk, pages, answers in zip(*(batch.column(c) for c in ("open", "chunk", "pages", "answers"))):
+                if is_open.as_py():
+                    pages = _unpacked(pages.as_buffer())
+                    found = Suffixes(pages["host"], pages["texts"], part_bits, name_bits)
+                    runs = Runs(found, _with_bits(found.shared, found.cuts, answers.as_py()))
+                    yield _by_part(chunk, runs.cuts, lambda at, runs=runs: runs.texts[at], pa.list_(pa.string()))
+
+    return run
+
+
+def _marked_pages(batch: pa.RecordBatch, part_bits: int, name_bits: int) -> Iterator[tuple[dict[str, list], list[np.ndarray]]]:
     """A chunk's pages, and by page which of its words the host repeats."""
-    for wide, pages, answers in zip(*(batch.column(c) for c in ("wide", "pages", "answers"))):
+    for is_open, pages, answers, checked in zip(*(batch.column(c) for c in ("open", "pages", "answers", "checked"))):
         pages = _unpacked(pages.as_buffer())
-        found = Suffixes(pages["host"], pages["texts"], wide.as_py())
-        cuts, shared = found.cuts(part_bits), found.shared
-        answers = answers.as_py() or ()
-        if len(answers) < np.count_nonzero(np.diff(cuts)):
-            raise RuntimeError("the pages changed while they were read")
-        for answer in answers:
-            a, b = cuts[answer["part"]], cuts[answer["part"] + 1]
-            shared[a:b] |= np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
-        yield pages, found.marked(shared)
-
-
-def _marks(part_bits: int):
+        found = Suffixes(pages["host"], pages["texts"], part_bits, name_bits)
+        shared = _with_bits(found.shared, found.cuts, answers.as_py())
+        repeat = shared[found.name_of]
+        if is_open.as_py():
+            runs = Runs(found, shared)
+            repeat[runs.suffixes] = _with_bits(runs.shared, runs.cuts, checked.as_py())[runs.run_of]
+        yield pages, found.marked(repeat)
+
+
+def _marks(part_bits: int, name_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pages, marked in _marked_pages(batch, part_bits):
+            for pages, marked in _marked_pages(batch, part_bits, name_bits):
                 arrays = [pa.array(pages[f.name], f.type) for f in PAGE]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(marked, pa.list_(pa.bool_()))], [*PAGE.names, "marked"])
 
     return run
 
 
-def _decided(part_bits: int):
+def _decided(part_bits: int, name_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pages, marked in _marked_pages(batch, part_bits):
+            for pages, marked in _marked_pages(batch, part_bits, name_bits):
                 text = [main_text(t, p, m) for t, p, m in zip(pages["texts"], pages["places"], marked)]
                 arrays = [pa.array(column, pa.string()) for column in (pages["page_id"], pages["url"], text)]
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text"])
@@ -423,50 +472,59 @@ def _decided(part_bits: int):
     return run
 
 
-NAMES = "wide boolean, part int, chunk binary, n int, names binary"
+ANSWERS = "chunk binary, part int, bits binary"
 MARKED = "page_id string, url string, host string, texts array<string>, places array<tinyint>, marked array<boolean>"
 
 
-def _with_answers(pages: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
-    """Chunks of all pages (wide, pages) with the answers of the parts that hold their names, and those parts' bits."""
+def _with_answers(pages: DataFrame, part_bytes: int, name_bits: int) -> tuple[DataFrame, int]:
+    """Chunks of all pages with the answers of the parts that hold their names and runs, and those parts' bits."""
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host.alias("host"))
-    # Hosts with pages that runs change get names of 128 bits; elsewhere structure has the last word on every block.
+    # Runs are compared as texts on hosts with pages that they change; elsewhere structure has the last word anyway.
     survey = checkpointed(rows.select("host", "html").mapInArrow(_surveyed, "host string, n bigint"))
     part_bits = max(6, ((survey.agg(F.sum("n")).first()[0] or 0) // PART_HTML).bit_length())
     hosts = survey.where("host is not null").select("host").distinct()
-    if hosts.isEmpty():
-        rows = rows.withColumn("wide", F.lit(False))
+    none_open = hosts.isEmpty()
+    if none_open:
+        rows = rows.withColumn("open", F.lit(False))
     else:
-        hosts = broadcast_if_small(hosts.withColumn("open", F.lit(True)), F.octet_length("host") + 64)
-        rows = rows.join(hosts, "host", "left").withColumn("wide", F.coalesce("open", F.lit(False)))
-    rows = rows.select("page_id", "url", "html", "host", "wide")
-    # The shuffled chunks are written once: both the names and the join with the answers read them.
-    chunks = rows.mapInArrow(_chunks(part_bytes), "wide boolean, pages binary, chunk binary").repartition("chunk")
-    names = chunks.mapInArrow(_names_of_chunks(part_bits), NAMES)
-    answers = names.groupBy("wide", "part").applyInArrow(_compared, "chunk binary, part int, bits binary")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
-    # The small side is hashed, so that no chunk is sorted.
-    return chunks.join(answers.hint("shuffle_hash"), "chunk", "left").select("wide", "pages", "answers"), part_bits
-
-
-def marks(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+        hosts = broadcast_if_small(hosts.withColumn("found", F.lit(True)), F.octet_length("host") + 64)
+        rows = rows.join(hosts, "host", "left").withColumn("open", F.coalesce("found", F.lit(False)))
+    rows = rows.select("page_id", "url", "html", "host", "open")
+    # The shuffled chunks are written once: the names and the joins with the answers read them.
+    chunks = rows.mapInArrow(_chunks(part_bytes), "open boolean, pages binary, chunk binary").repartition("chunk")
+
+    def answered(sent: DataFrame, compared, name: str) -> DataFrame:
+        answers = sent.groupBy("part").applyInArrow(compared, ANSWERS)
+        # The small side is hashed, so that no chunk is sorted.
+        return answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(name)).hint("shuffle_hash")
+
+    sent = "part int, chunk binary, n int, sent "
+    names = chunks.mapInArrow(_names_of_chunks(part_bits, name_bits), sent + "binary")
+    chunks = chunks.join(answered(names, _compared_names, "answers"), "chunk", "left")
+    if none_open:
+        return chunks.withColumn("checked", F.lit(None).cast("array<struct<part:int,bits:binary>>")), part_bits
+    runs = chunks.mapInArrow(_runs_of_chunks(part_bits, name_bits), sent + "array<string>")
+    return chunks.join(answered(runs, _compared_runs, "checked"), "chunk", "left"), part_bits
+
+
+def marks(pages: DataFrame, part_bytes: int = PART_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
     """One row per page: page_id, url, host, its blocks (texts, places) and, by word, whether the host repeats it.
 
-    Where structure decides every page of a host, names have NARROW_BITS only: on a large table a few words
+    Where structure decides every page of a host, names alone are compared: on a large table a few words
     too many are marked there, which changes no text."""
-    chunks, part_bits = _with_answers(pages, part_bytes)
-    return chunks.mapInArrow(_marks(part_bits), MARKED)
+    chunks, part_bits = _with_answers(pages, part_bytes, name_bits)
+    return chunks.mapInArrow(_marks(part_bits, name_bits), MARKED)
 
 
-def extract(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def extract(pages: DataFrame, part_bytes: int = PART_BYTES, name_bits: int = NAME_BITS) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null html is empty and gives an empty text; pages without a url share an empty host; ids may
     be null or repeat; an empty table gives no rows; only page_id, url and html are read. Suffixes of
-    every page are compared over the whole of a host; `part_bytes` bounds a chunk of pages."""
-    chunks, part_bits = _with_answers(pages, part_bytes)
-    found = chunks.mapInArrow(_decided(part_bits), "page_id string, url string, text string")
+    every page are compared over the whole of a host; `part_bytes` bounds a chunk of pages, names have `name_bits`."""
+    chunks, part_bits = _with_answers(pages, part_bytes, name_bits)
+    found = chunks.mapInArrow(_decided(part_bits, name_bits), "page_id string, url string, text string")
     return found.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
     )
