@@ -2,16 +2,15 @@
 
 The exact join follows the pivot scheme of Lu et al. (2012): rows go to the cell of
 their nearest pivot; triangle-inequality bounds tell which cells of queries a
-reference row can matter to, and only those receive a copy. Equal points are
+reference row can matter to, and only those meet it. Equal points are
 collapsed to one weighted point first, so a group of copies costs one row.
-Inside a cell, blocks of queries meet blocks of references as numpy matrices and
-only the k best per query leave the task. The probing join of `probing.py` looks into as many
-cells as a wanted recall needs; its cost per row does not grow with the references.
+Groups of queries meet the references of their cells as numpy matrices in one stream and
+only the k best per query leave the task (`probing.meet`). The probing join of `probing.py` looks
+into as many cells as a wanted recall needs; its cost per row does not grow with the references.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ from tidewatch.session import materialize
 K_GRID = (20, 35, 50)
 MAX_PIVOTS = 1024
 CELL = 500
-QUERY_BLOCK, REF_BLOCK = 1024, 4096
+QUERY_BLOCK, REF_BLOCK = None, 4096  # None: as many queries as `probing.meet` deals out
 TINY = 1e-10
 
 
@@ -100,9 +99,13 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, same: bool = False) ->
     queries: (id, x), refs: (id, x, w), ids unique on each side. same=True joins a set of
     points with itself; a point is not its own neighbour, but its copies are. Exact.
     """
-    n_refs = refs.count()
     # copies count as neighbours, so one more point covers the query itself
-    need = k + 1 if same else k
+    return _exact(queries, refs, k + 1 if same else k, ["id", "w"], _by_weight(k, same), NEAR)
+
+
+def _exact(queries: DataFrame, refs: DataFrame, need: int, payload: list[str], finish, out: T.StructType | str) -> DataFrame:
+    """Shows queries (id, x) the references (id, x, w, ...) that can be among their `need` nearest. Reads both several times."""
+    n_refs = refs.count()
     size = int(min(MAX_PIVOTS, max(1, n_refs // CELL)))
     sample = refs.select("x", "id").orderBy(key_hash(["id"], 7), "id").limit(size).toPandas()
     pivots = matrix(sample["x"])
@@ -112,80 +115,35 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, same: bool = False) ->
     placed_refs, placed = place(refs), place(queries.select("id", "x"))
     query_cells = placed.groupBy("cell").agg(F.max("away").alias("reach"), F.count("*").alias("n")).toPandas()
     lower = _bounds(placed_refs, query_cells, pivots, need)
+    held = placed_refs.groupBy("cell").agg(F.max("away").alias("farthest"), F.count("*").alias("n")).toPandas()
+    sizes, farthest = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    sizes[held["cell"]], farthest[held["cell"]] = held["n"], held["farthest"]
+    cells = probing.packed(placed_refs, sizes, [*payload, "away"], REF_BLOCK)
+    asked = placed.select("id", "x", "cell")
+    return probing.meet(cells, sizes, pivots, lambda home: lower[home], asked, need, payload, finish, out, farthest, QUERY_BLOCK)
+
+
+NEAR = "query string, id string, dist double, w long"
 
-    @F.pandas_udf("array<int>")
-    def targets(cell: pd.Series, away: pd.Series) -> pd.Series:
-        hit = away.to_numpy()[:, None] >= lower[:, cell.to_numpy()].T
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in hit])
-
-    sent = placed_refs.select("id", "x", "w", F.explode(targets("cell", "away")).alias("cell"))
-    ref_counts = sent.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
-    sent = _blocks(sent, ref_counts, REF_BLOCK, "rb")
-    asked = _blocks(placed, query_cells, QUERY_BLOCK, "qb")
-    left = asked.groupBy("cell", "qb").agg(F.collect_list(F.struct("id", "x")).alias("q"))  # about QUERY_BLOCK rows
-    right = sent.groupBy("cell", "rb").agg(F.collect_list(F.struct("id", "x", "w")).alias("r"))  # about REF_BLOCK rows
-    pairs = left.join(right, "cell").repartition("cell", "qb", "rb").select("q", "r")
-
-    def best(batches):
-        for batch in batches:
-            for q, r in zip(batch["q"], batch["r"]):
-                qx = np.stack([e["x"] for e in q])
-                rx = np.stack([e["x"] for e in r])
-                q_ids = np.array([e["id"] for e in q])
-                r_ids = np.array([e["id"] for e in r])
-                weight = np.array([e["w"] for e in r])
-                rough = _cross(qx, rx)
-                take = min(need, rough.shape[1])
-                near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                dist = np.sqrt(((qx[:, None, :] - rx[near]) ** 2).sum(2))
-                yield pd.DataFrame(
-                    {
-                        "query": np.repeat(q_ids, take),
-                        "id": r_ids[near].ravel(),
-                        "dist": dist.ravel(),
-                        "w": weight[near].ravel(),
-                    }
-                )
-
-    found = pairs.mapInPandas(best, "query string, id string, dist double, w long")
-    return _by_weight(found, k, same)
-
-
-def _by_weight(found: DataFrame, k: int, same: bool) -> DataFrame:
+
+def _by_weight(k: int, same: bool):
     """The nearest points up to a total weight of k; a query itself counts its other copies only."""
-    if same:
-        found = found.withColumn("w", F.when(F.col("query") == F.col("id"), F.col("w") - 1).otherwise(F.col("w")))
-        found = found.where(F.col("w") > 0)
-    order = W.partitionBy("query").orderBy("dist", "id")
-    before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return (
-        found.withColumn("_before", before)
-        .where(F.col("_before") < k)
-        .withColumn("w", F.least(F.col("w"), F.lit(k) - F.col("_before")))
-        .drop("_before")
-    )
 
+    def rows(ids: np.ndarray, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
+        near, w = kept[0], kept[1].astype(np.int64)
+        if same:
+            w = w - (near == ids[:, None])
+        w = np.minimum(w, np.maximum(k - (np.cumsum(w, 1) - w), 0))
+        some = w > 0
+        columns = [np.broadcast_to(ids[:, None], w.shape)[some], near[some], dist[some], w[some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), None, None))], ["query", "id", "dist", "w"])
 
-def _blocks(df: DataFrame, counts: pd.DataFrame, size: int, name: str) -> DataFrame:
-    """Adds a hash block number so that a block of a cell holds about `size` rows."""
-    blocks = np.ones(int(counts["cell"].max()) + 1 if len(counts) else 1, dtype=int)
-    for cell, n in zip(counts["cell"], counts["n"]):
-        blocks[int(cell)] = max(1, math.ceil(n / size))
-    per_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    return df.withColumn(name, F.floor(key_hash(["id"], 11) * per_cell).cast("int"))
+    return rows
 
 
 def probing_join(index: probing.Index, k: int) -> DataFrame:
     """(query, id, dist, w) of the index's own points, as `knn_join` gives them, with the index's recall."""
-
-    def rows(block: pa.RecordBatch, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
-        query = np.repeat(block.column(0).to_numpy(zero_copy_only=False), dist.shape[1])
-        columns = [query, kept[0].ravel(), dist.ravel(), kept[1].ravel().astype(np.int64)]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query", "id", "dist", "w"])
-
-    queries = index.refs.select(F.col("id").alias("query"), "x", "cell")
-    found = probing.probe(index, queries, k + 1, ["id", "w"], rows, "query string, id string, dist double, w long")
-    return _by_weight(found, k, same=True)
+    return probing.probe(index, index.refs.select("id", "x", "cell"), k + 1, ["id", "w"], _by_weight(k, same=True), NEAR)
 
 
 @dataclass
@@ -198,41 +156,26 @@ class LofModel:
     index: probing.Index | None = None
 
     def transform(self, df: DataFrame, name: str = "score") -> DataFrame:
-        return self._probed(df, name) if self.index else self._exact(df, name)
-
-    def _probed(self, df: DataFrame, name: str) -> DataFrame:
-        """One shuffle: rows travel to the cells they probe and leave with their score."""
+        """Each distinct point is scored where it meets its neighbours; rows get the score of their point."""
         k = self.k
 
-        def score(block: pa.RecordBatch, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
+        def score(ids: np.ndarray, dist: np.ndarray, kept: list[np.ndarray]) -> pa.RecordBatch:
             w, kdist, lrd = (c.astype(float) for c in kept)
             w = np.minimum(w, np.maximum(k - (np.cumsum(w, 1) - w), 0))
             total = w.sum(1)
             own = 1.0 / ((w * np.maximum(dist, kdist)).sum(1) / total + TINY)
             around = (w * lrd).sum(1) / total
-            row = block.column(0)
-            names = [row.type.field(i).name for i in range(row.type.num_fields)]
-            return pa.RecordBatch.from_arrays([*row.flatten(), pa.array(around / own)], [*names, name])
-
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(around / own)], ["_point", name])
+
+        out = T.StructType([T.StructField("_point", T.StringType()), T.StructField(name, T.DoubleType())])
+        points = materialize(distinct_points(df, self.features).select("id", "x"), "lof-asked")
+        payload = ["w", "kdist", "lrd"]
+        if self.index:
+            scored = probing.probe(self.index, probing.placed(points, self.index.pivots), k, payload, score, out)
+        else:
+            scored = _exact(points, self.refs, k, payload, score, out)
         rest = df.drop(name) if name in df.columns else df
-        row = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row")
-        queries = probing.placed(rest.select(row, as_vector(self.features).alias("x")), self.index.pivots)
-        schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
-        return probing.probe(self.index, queries, k, ["w", "kdist", "lrd"], score, schema)
-
-    def _exact(self, df: DataFrame, name: str) -> DataFrame:
-        keyed = df.withColumn("_point", point_id(as_vector(self.features)))
-        points = distinct_points(df, self.features)
-        near = knn_join(points, self.refs.select("id", "x", "w"), self.k)
-        known = self.refs.select("id", "kdist", "lrd")
-        w = F.col("w")
-        total = F.sum(w)
-        per_query = near.join(known, "id").groupBy("query").agg(
-            (1.0 / (F.sum(w * F.greatest("dist", "kdist")) / total + F.lit(TINY))).alias("own"),
-            (F.sum(w * F.col("lrd")) / total).alias("around"),
-        )
-        scored = per_query.select(F.col("query").alias("_point"), (F.col("around") / F.col("own")).alias(name))
-        return keyed.join(scored, "_point").drop("_point")
+        return rest.withColumn("_point", point_id(as_vector(self.features))).join(scored, "_point").drop("_point")
 
 
 def fit(df: DataFrame, features: list[str] | str, k: int = 20, recall: float | None = None) -> LofModel:
