@@ -37,7 +37,7 @@ QUERY_BLOCK, REF_BLOCK = 4096, 4096
 LEAST_BLOCK = 1024  # few queries are dealt out finer, but not below this
 HOMES = 32  # in a group
 SPREAD = 8
-STEP = 512  # queries of one product of matrices
+STEP = 256  # queries of one product of matrices
 
 
 def product_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,19 +80,26 @@ class Nearest:
         payload = [np.concatenate(columns) for columns in zip(*(p for _, p in self.waiting))]
         self.waiting, self.held = [], 0
         centre = points.mean(0)
-        # beyond what rounding can move a distance of the product form
-        slack = 1e-12 * sum(((x - centre) ** 2).sum(1).max() for x in (self.queries, points))
-        parts = [self._best(at, points, payload, slack) for at in range(0, len(self.queries), STEP)]
+        b, squares = points - centre, ((self.queries - centre) ** 2).sum(1)
+        right = np.column_stack([b, np.ones(len(b)), (b * b).sum(1)]).T
+        slack = 1e-12 * (squares.max() + right[-1].max())  # beyond what rounding can move a distance of the product form
+        parts = []
+        for at in range(0, len(self.queries), STEP):
+            asked = self.queries[at : at + STEP]
+            left = np.column_stack([-2.0 * (asked - centre), squares[at : at + STEP], np.ones(len(asked))])
+            parts.append(self._best(at, asked, left @ right, slack, points, payload))
         self.dist = np.concatenate([dist for dist, _ in parts])
         self.kept = [np.concatenate(columns) for columns in zip(*(kept for _, kept in parts))]
 
-    def _best(self, at: int, points: np.ndarray, payload: list[np.ndarray], slack: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        asked = self.queries[at : at + STEP]
-        rough = product_distances(asked, points)
+    def _best(
+        self, at: int, asked: np.ndarray, rough: np.ndarray, slack: float, points: np.ndarray, payload: list[np.ndarray]
+    ) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What is kept of some queries whose squared distances are `rough` within slack."""
         old = self.dist[at : at + STEP] if self.dist is not None else np.empty((len(asked), 0))
         take = min(self.need, len(points))
         limit = old[:, -1] ** 2 if old.shape[1] >= self.need else np.partition(rough, take - 1, axis=1)[:, take - 1]
-        row, col = np.nonzero(~(rough > limit[:, None] * (1 + 1e-12) + slack))
+        far = rough > limit[:, None] * (1 + 1e-12) + slack
+        row, col = np.divmod(np.flatnonzero(np.logical_not(far, out=far)), len(points))
         count = np.bincount(row, minlength=len(asked))
         seat = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         dist, which = np.full((len(asked), count.max()), np.inf), np.zeros((len(asked), count.max()), np.int64)
